@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, quality, token_counts, warc
+from . import exact_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_packing, op4_exact_dedup, op5_quality, op7_language_id, op8_mixing, op9_token_counts, op10_line_dedup]
+    named = [op1_warc, op2_packing, op3_lm_score, op4_exact_dedup, op5_quality, op7_language_id, op8_mixing, op9_token_counts, op10_line_dedup]
     return {f.__name__: f for f in named}
 
 
