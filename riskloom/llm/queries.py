@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, token_counts, warc
+from . import exact_dedup, jaccard_join, language_id, line_dedup, lm_score, mixing, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("t1", "t2")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_packing, op3_lm_score, op4_exact_dedup, op5_quality, op7_language_id, op8_mixing, op9_token_counts, op10_line_dedup]
+    named = [op1_warc, op2_packing, op3_lm_score, op4_exact_dedup, op5_quality, op6_jaccard_join, op7_language_id, op8_mixing, op9_token_counts, op10_line_dedup]
     return {f.__name__: f for f in named}
 
 
