@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .common import slices, texts
 
 BLOCK_SEQUENCES = 512
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 # Characters that Python splits at but the tokenizer keeps.
 _KEPT_BLANKS = re.compile("[\x1c-\x1f]")
 # Words of these characters alone fall apart like this, whatever their neighbours; others are encoded whole.
@@ -36,6 +36,8 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9
 class WordEncoder(dict):
     """word -> its token ids as little-endian uint32 bytes; a bounded cache.
 
+    When it is full its words step back to a second cache, from which those
+    that come again return; what was in there goes.
     For tokenizers that split at blanks before anything else, so that a text's
     ids are its words' ids in order.
     """
@@ -45,6 +47,8 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,16 +57,24 @@ class WordEncoder(dict):
         known = self.parts.get(s)
         if known is None:
             if len(self.parts) > CACHED_WORDS:
-                self.parts.clear()
-            known = self.parts[s] = self.ids(s)
+                self.parts, self.older_parts = {}, self.parts
+            known = self.older_parts.get(s)
+            if known is None:
+                known = self.ids(s)
+            self.parts[s] = known
         return known
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and not any(t in word for t in self.specials):
-            known = b"".join(map(self.part, _PARTS.findall(word.lower())))
-        else:
-            known = self.ids(word)
+        known = self.older.get(word)
+        if known is None:
+            if word.isascii() and word.isalpha():
+                known = self.part(word.lower())
+            elif _PLAIN.fullmatch(word) and not any(t in word for t in self.specials):
+                known = b"".join(map(self.part, _PARTS.findall(word.lower())))
+            else:
+                known = self.ids(word)
         if len(self) > CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) < 64:
             self[word] = known
