@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.prefix import PART, running_sums, split_in_order
+from riskloom.plans.storage import materialise
 
 ORDER = ["t", "not_failure", "minus_weight", "is_start", "row_id"]
 
@@ -77,4 +78,36 @@ def reverse_cumsums(obs: DataFrame, index: DataFrame, value: Column) -> DataFram
     return one("event_order", "by_event").join(one("start_order", "by_start"), ["stratum", "position"])
 
 
-__all__ = ["PART", "forward_cumsum", "in_event_order", "in_native_order", "joint_order", "reverse_cumsums", "risk_index"]
+def _in_risk_time(obs: DataFrame) -> DataFrame:
+    return obs.withColumn("hit", (F.col("status") == 1) & (F.col("weight") > 0))
+
+
+def sum_over_risk_set(obs: DataFrame, index: DataFrame, value: Column, efron: bool = True) -> DataFrame:
+    """stratum, row_id, value at each counted failure: the sum of `value` over its risk set, less scaling times the sum over its cluster."""
+    rows = _in_risk_time(obs).withColumn("_v", value.cast("double"))
+    at = lambda t, x: F.struct(F.col(t).alias("t"), F.col("_v").alias("ev") if x else F.lit(0.0).alias("ev"), F.lit(0.0).alias("st") if x else F.col("_v").alias("st"), (F.when(F.col("hit"), F.col("_v")).otherwise(0.0) if x else F.lit(0.0)).alias("d"))
+    flat = rows.select("stratum", F.explode(F.array(at("event", True), at("start", False))).alias("p")).select("stratum", "p.*").where(F.col("t") > F.lit(float("-inf")))
+    line = split_in_order(flat.groupBy("stratum", "t").agg(F.sum("ev").alias("ev"), F.sum("st").alias("st"), F.sum("d").alias("d")), ["stratum"], ["t"])
+    risk = running_sums(line, ["stratum"], [F.col("t")], {"sev": F.col("ev"), "sst": F.col("st")}, reverse=True)
+    risk = risk.select(F.col("stratum").alias("_s"), F.col("t").alias("_t"), (F.col("sev") - F.col("sst")).alias("_r"), F.col("d").alias("_d"))
+    ours = index.select(F.col("row_id").alias("_i"), "scaling")
+    out = rows.where("hit").join(ours, F.col("row_id") == F.col("_i")).join(risk, (F.col("stratum") == F.col("_s")) & (F.col("event") == F.col("_t")))
+    return out.select("stratum", "row_id", (F.col("_r") - (F.col("scaling") * F.col("_d") if efron else F.lit(0.0))).alias("value"))
+
+
+def sum_over_events(obs: DataFrame, index: DataFrame, value: Column, efron: bool = True) -> DataFrame:
+    """stratum, row_id, value at each row: the sum of `value` over the failures in the row's time at risk, less the scaled sum over its cluster."""
+    ours = index.select(F.col("row_id").alias("_i"), "scaling")
+    rows = _in_risk_time(obs).join(ours, F.col("row_id") == F.col("_i")).withColumn("_v", F.when(F.col("hit"), value.cast("double")).otherwise(0.0))
+    at = lambda t, x: F.struct(F.col(t).alias("t"), F.col("_v").alias("f") if x else F.lit(0.0).alias("f"), (F.col("_v") * F.col("scaling") if x else F.lit(0.0)).alias("fs"))
+    flat = rows.select("stratum", F.explode(F.array(at("event", True), at("start", False))).alias("p")).select("stratum", "p.*").where(F.col("t") > F.lit(float("-inf")))
+    line = split_in_order(flat.groupBy("stratum", "t").agg(F.sum("f").alias("f"), F.sum("fs").alias("fs")), ["stratum"], ["t"])
+    cum = materialise(running_sums(line, ["stratum"], [F.col("t")], {"c": F.col("f")}).select("stratum", "t", "c", "fs"), "events")
+    first = cum.select(F.col("stratum").alias("_s"), F.col("t").alias("_t"), F.col("c").alias("_c"), "fs")
+    second = cum.select(F.col("stratum").alias("_s2"), F.col("t").alias("_t2"), F.col("c").alias("_c2"))
+    out = rows.join(first, (F.col("stratum") == F.col("_s")) & (F.col("event") == F.col("_t"))).join(second, (F.col("stratum") == F.col("_s2")) & (F.col("start") == F.col("_t2")), "left")
+    own = F.when(F.col("hit"), F.col("fs")).otherwise(0.0) if efron else F.lit(0.0)
+    return out.select("stratum", "row_id", (F.col("_c") - F.coalesce("_c2", F.lit(0.0)) - own).alias("value"))
+
+
+__all__ = ["PART", "forward_cumsum", "in_event_order", "in_native_order", "joint_order", "reverse_cumsums", "risk_index", "sum_over_events", "sum_over_risk_set"]
