@@ -290,6 +290,8 @@ def _prune(least: list[int], threshold: Fraction) -> Callable:
             keys = tile.column("keys").combine_chunks()
             keys = np.asarray((keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten()).reshape(len(c), BANDS)
             found = [survivors(sig, keys, n, a, b, band, threshold, least) for a, b in tile_pairs(side, ti != tj)]
+            if not found:  # no member of the tile's bucket lies in one of its two parts
+                continue
             left, right = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             order = np.argsort(left, kind="stable")
             left, right = left[order], right[order]
@@ -419,7 +421,7 @@ def _sets(width: int) -> Callable:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `df`, all columns, that `jaccard_join` keeps: one of each group."""
-    t1, t2, k_id, k1, k2, n = fresh(df, "t1", "t2", "k_id", "k1", "k2", "n")
+    t1, t2, k_id, k1, k2, n, times = fresh(df, "t1", "t2", "k_id", "k1", "k2", "n", "times")
     stay = jaccard_join(df, id_col, text_col, **options).where("kept").select(F.col(id_col).alias(k_id), F.col("t1").alias(k1), F.col("t2").alias(k2))
     schema = T.StructType([*df.schema.fields, T.StructField(t1, T.LongType()), T.StructField(t2, T.LongType())])
 
@@ -430,7 +432,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
     rows = df.mapInArrow(run, schema)
     # of rows that repeat id and text some may stay (those without words): as many as are kept
-    stay = stay.groupBy(k_id, k1, k2).agg(F.count("*").alias("stay"))
+    stay = stay.groupBy(k_id, k1, k2).agg(F.count("*").alias(times))
     joined = rows.join(stay, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)))
     one = Window.partitionBy(id_col, t1, t2).orderBy(F.lit(0))
-    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) <= F.col("stay")).select(*df.columns)
+    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) <= F.col(times)).select(*df.columns)
