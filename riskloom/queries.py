@@ -173,20 +173,20 @@ def _registry() -> dict[str, tuple[Query, str]]:
 
     def config(ties: str, start: bool, strata: bool, weight: str) -> None:
         name, obs, efron = _config_name(ties, start, strata, weight), events_sql(start, strata, weight), ties == "efron"
-        w = None if weight == "ones" else F.expr(WEIGHTS[weight])
+        w = lambda: None if weight == "ones" else F.expr(WEIGHTS[weight])  # noqa: E731  columns need a session
         cox = lambda spark, d, **o: _cox(spark, d, ties, start, strata, **o)
-        out[f"cox_scalars_{name}"] = (lambda spark, d: _rounded(cox(spark, d)(F.expr(ETA), w).scalars()), scalars_sql(obs, efron))
-        out[f"cox_rows_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w).rows(*map(F.expr, VECTORS))), rows_sql(obs, efron, start))
+        out[f"cox_scalars_{name}"] = (lambda spark, d: _rounded(cox(spark, d)(F.expr(ETA), w()).scalars()), scalars_sql(obs, efron))
+        out[f"cox_rows_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).rows(*map(F.expr, VECTORS))), rows_sql(obs, efron, start))
         if weight == "zeros":
-            out[f"cox_info_quadform_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w).quadratic_form([F.expr(x) for x in FEATURES])), quadform_sql(obs, efron))
+            out[f"cox_info_quadform_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).quadratic_form([F.expr(x) for x in FEATURES])), quadform_sql(obs, efron))
         if weight == "zeros" and efron:
             out[f"cox_diag_hessian_reference_{name}"] = (
-                lambda spark, d: _rounded(cox(spark, d, compat="reference")(F.expr(ETA), w).rows().select("row_id", "diag_hessian")),
+                lambda spark, d: _rounded(cox(spark, d, compat="reference")(F.expr(ETA), w()).rows().select("row_id", "diag_hessian")),
                 f"SELECT row_id, diag_hessian FROM ({rows_sql(obs, efron, start, reference=True)})",
             )
-            out[f"cox_score_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w).score([F.expr(x) for x in FEATURES])), score_sql(obs, efron))
+            out[f"cox_score_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).score([F.expr(x) for x in FEATURES])), score_sql(obs, efron))
             out[f"risk_sum_at_failures_{name}"] = (
-                lambda spark, d: _rounded(cox(spark, d)(F.expr(ETA), w).risk_sums()),
+                lambda spark, d: _rounded(cox(spark, d)(F.expr(ETA), w()).risk_sums()),
                 terms_sql(obs, efron) + f" SELECT stratum, {_r('t', 't')}, {_r('r', 'r')}, {_r('d', 'd')}, {_r('w', 'w')}, CAST(k AS BIGINT) AS k FROM terms",
             )
 
