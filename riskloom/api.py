@@ -106,10 +106,19 @@ class CoxDeviance:
         """Positions, clusters and rank look-ups of each row (see `operators.order`)."""
         return order.risk_index(self.observations(F.lit(0.0), sample_weight if sample_weight is not None else self._construction_weight))
 
+    def preprocess(self, sample_weight: str | Column | None = None) -> DataFrame:
+        """The observations in event order with their index, and first_start (see `operators.order`)."""
+        obs = self.observations(F.lit(0.0), sample_weight if sample_weight is not None else self._construction_weight)
+        return order.preprocess(obs)
+
     def strata(self) -> DataFrame:
         """stratum, n."""
         return self.df.groupBy(self._cols["stratum"].alias("stratum")).agg(F.count("*").alias("n"))
 
+    def stratum_rows(self) -> DataFrame:
+        """stratum, row_id."""
+        return self.df.select(self._cols["stratum"].alias("stratum"), self._ids.alias("row_id"))
+
 
 class CoxDevianceResult:
     """What a linear predictor and weights give."""
@@ -123,10 +132,10 @@ class CoxDevianceResult:
         return tl.scored(self.cox.observations(self.linear_predictor, self.sample_weight))
 
     def _timeline(self) -> DataFrame:
-        """Written once per result; scalars and rows both read it."""
+        """The terms of each time; the timeline under it is written once per result."""
         if self._terms is None:
             line = tl.timeline(self._rows(), self.cox.has_start)
-            self._terms = materialise(tl.moments(tl.at_risk(line), self.cox.efron), "terms")
+            self._terms = tl.moments(tl.at_risk(line), self.cox.efron)
         return self._terms
 
     def scalars(self, by_stratum: bool = False) -> DataFrame:

@@ -44,6 +44,25 @@ def risk_index(obs: DataFrame) -> DataFrame:
     return out.select("stratum", "row_id", "event_order", "start_order", first.alias("first"), last.alias("last"), scaling.alias("scaling"), "event_map", "start_map")
 
 
+def preprocess(obs: DataFrame) -> DataFrame:
+    """A row per position in event order: the observation, its index, and first_start = first at position start_map.
+
+    first_start is null where a start is after every event, which validation rules out; else it equals start_map.
+    """
+    index = materialise(risk_index(obs), "index")
+    at = index.select(F.col("stratum").alias("_s"), F.col("event_order").alias("_p"), F.col("first").alias("first_start"))
+    found = index.join(at, (F.col("stratum") == F.col("_s")) & (F.col("start_map") == F.col("_p")), "left").drop("_s", "_p", "stratum").withColumnRenamed("row_id", "_r")
+    return obs.select("row_id", "stratum", "start", "event", "status").join(found, F.col("row_id") == F.col("_r")).drop("_r")
+
+
+def forward_prework(i: int, j: int, status: Column, scaling: Column, risk: Column, mean_weight: Column | None = None, arg: Column | None = None) -> Column:
+    """status * mean_weight * scaling^i / risk^j * arg; 0 where mean_weight, or without one status, isn't positive."""
+    base = status * F.pow(scaling, F.lit(float(i))) / F.pow(risk, F.lit(float(j)))
+    base = base if mean_weight is None else base * mean_weight
+    base = base if arg is None else base * arg
+    return F.when((status if mean_weight is None else mean_weight) > 0, base).otherwise(0.0)
+
+
 def in_event_order(obs: DataFrame, index: DataFrame, *columns: str) -> DataFrame:
     """Columns of the rows, by position in event order."""
     ours = index.select(F.col("row_id").alias("_r"), "event_order")
@@ -110,4 +129,4 @@ def sum_over_events(obs: DataFrame, index: DataFrame, value: Column, efron: bool
     return out.select("stratum", "row_id", (F.col("_c") - F.coalesce("_c2", F.lit(0.0)) - own).alias("value"))
 
 
-__all__ = ["PART", "forward_cumsum", "in_event_order", "in_native_order", "joint_order", "reverse_cumsums", "risk_index", "sum_over_events", "sum_over_risk_set"]
+__all__ = ["PART", "forward_cumsum", "forward_prework", "in_event_order", "in_native_order", "joint_order", "preprocess", "reverse_cumsums", "risk_index", "sum_over_events", "sum_over_risk_set"]

@@ -269,6 +269,25 @@ SELECT stratum, position, {_r('x', 'by_event')}, {_r('y', 'by_start')} FROM a JO
 rr AS (SELECT f.stratum, f.row_id, any_value(f.scaling) AS scaling, any_value(f.event) AS event, sum(o.v0) AS r FROM oo f JOIN oo o ON o.stratum = f.stratum AND o.start < f.event AND f.event <= o.event WHERE f.hit GROUP BY f.stratum, f.row_id)
 SELECT rr.stratum, row_id, {_r('r - scaling * d', 'value')} FROM rr JOIN cl USING (stratum, event)""",
     )
+    out["preprocess_strata"] = (
+        lambda spark, d: _rounded(_cox(spark, d, "efron", True, True).preprocess(F.expr(WEIGHTS["zeros"])).withColumn("start", F.greatest("start", F.lit(-1.0)))),
+        f"""{whole(True)} SELECT obs.row_id, obs.stratum, {_r('greatest(obs.start, -1.0::DOUBLE)', 'start')}, {_r('obs.event', 'event')}, status, idx.event_order, idx.start_order, idx.first, idx.last, {_r('idx.scaling', 'scaling')}, idx.event_map, idx.start_map, o2.first AS first_start
+FROM obs JOIN idx USING (row_id) LEFT JOIN idx o2 ON o2.stratum = obs.stratum AND o2.event_order = idx.start_map""",
+    )
+    out["lexsort_strata"] = (
+        kernel(lambda obs, idx: order.joint_order(obs).select("stratum", "row_id", "is_start", F.greatest("t", F.lit(-1.0)).alias("t"), "not_failure", "minus_weight")),
+        f"WITH {events_sql(True, True, 'zeros').strip()},{INDEX_SQL} SELECT stratum, row_id, is_start, {_r('greatest(t, -1.0::DOUBLE)', 't')}, late AS not_failure, {_r('mw', 'minus_weight')} FROM pts",
+    )
+
+    def prework(obs: DataFrame, idx: DataFrame) -> DataFrame:
+        at = idx.select(F.col("row_id").alias("_i"), "scaling")
+        made = order.forward_prework(1, 2, F.col("status").cast("double"), F.col("scaling"), F.lit(4.0) + F.exp("v1"), F.col("weight"), F.col("v1"))
+        return obs.join(at, F.col("row_id") == F.col("_i")).select("row_id", made.alias("value"))
+
+    out["forward_prework"] = (
+        kernel(prework),
+        f"{n} SELECT row_id, {_r('CASE WHEN weight > 0 THEN status * weight * scaling / (4 + exp(v1)) ** 2 * v1 ELSE 0 END', 'value')} FROM oo",
+    )
     out["sum_over_events"] = (
         kernel(lambda obs, idx: order.sum_over_events(obs, idx, F.col("v0"))),
         f"""{n}, ft AS (SELECT stratum, event AS t, sum(v0) AS f, sum(v0 * scaling) AS fs FROM oo WHERE hit GROUP BY stratum, event)
