@@ -30,8 +30,8 @@ def scored(obs: DataFrame) -> DataFrame:
     return out.withColumn("e", F.col("weight") * F.exp(F.least("eta_c", F.lit(CLIP)))).withColumn("hit", (F.col("status") == 1) & (F.col("weight") > 0))
 
 
-def timeline(rows: DataFrame, starts: bool, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Sums per stratum and time, in numbered ranges of time.
+def time_sums(rows: DataFrame, starts: bool, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Sums per stratum and time; sums of parts of the rows add up to those of the whole.
 
     d, w, k: risk scores, weights and number of the failures at t; ev and st: risk scores
     of those whose event, or start, it is.  For each name of `extra`, a factor x:
@@ -51,8 +51,12 @@ def timeline(rows: DataFrame, starts: bool, extra: Mapping[str, Column] | None =
     points = F.array(point("event", True), *([point("start", False)] if starts else []))
     flat = rows.select("stratum", F.explode(points).alias("p")).select("stratum", "p.*").where(F.col("t") > F.lit(float("-inf")))
     sums = [c for c in flat.columns if c not in KEY]
-    line = flat.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in sums))
-    return split_in_order(line, ["stratum"], ["t"], "timeline")
+    return flat.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def timeline(rows: DataFrame, starts: bool, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """`time_sums` in numbered ranges of time."""
+    return split_in_order(time_sums(rows, starts, extra), ["stratum"], ["t"], "timeline")
 
 
 def at_risk(line: DataFrame, names: Sequence[str] = ()) -> DataFrame:
@@ -147,4 +151,4 @@ def quadratic_form(terms: DataFrame, names: Sequence[str]) -> DataFrame:
     return total.select(F.explode("cells").alias("c")).select("c.*")
 
 
-__all__ = ["KEY", "PART", "at_risk", "moments", "per_row", "quadratic_form", "scalars", "scored", "timeline"]
+__all__ = ["KEY", "PART", "at_risk", "moments", "per_row", "quadratic_form", "scalars", "scored", "time_sums", "timeline"]
