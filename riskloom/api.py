@@ -126,6 +126,7 @@ class CoxDevianceResult:
     def __init__(self, cox: CoxDeviance, linear_predictor: str | Column, sample_weight: str | Column | None):
         self.cox, self.linear_predictor, self.sample_weight = cox, linear_predictor, sample_weight
         self._terms: DataFrame | None = None
+        self._written = False
         self._numbers: dict | None = None
 
     def _rows(self) -> DataFrame:
@@ -143,7 +144,9 @@ class CoxDevianceResult:
 
     def rows(self) -> DataFrame:
         """row_id, gradient, diag_hessian."""
-        out = tl.per_row(self._rows(), self._timeline(), self.cox.has_start, reference_diag=self.cox.compat == "reference", efron=self.cox.efron)
+        if not self._written:  # rows read the terms several times
+            self._terms, self._written = materialise(self._timeline(), "terms"), True
+        out = tl.per_row(self._rows(), self._terms, self.cox.has_start, reference_diag=self.cox.compat == "reference", efron=self.cox.efron)
         return out.select("row_id", "gradient", "diag_hessian")
 
     def risk_sums(self) -> DataFrame:
@@ -212,7 +215,8 @@ class CoxInformation:
         """i and value: X' times the gradient of the deviance."""
         names = [f"x{i}" for i in range(len(features))]
         rows = tl.scored(self.cox.observations(self.linear_predictor, self.sample_weight, dict(zip(names, map(_column, features)))))
-        terms = self.cox(self.linear_predictor, self.sample_weight)._timeline()
+        line = tl.timeline(rows, self.cox.has_start)
+        terms = materialise(tl.moments(tl.at_risk(line), self.cox.efron), "terms")
         out = tl.per_row(rows, terms, self.cox.has_start, efron=self.cox.efron)
         cells = F.array(*(F.struct(F.lit(i).alias("i"), F.sum(F.col(n) * F.col("gradient")).alias("value")) for i, n in enumerate(names)))
         return out.agg(cells.alias("cells")).select(F.explode("cells").alias("c")).select("c.*")

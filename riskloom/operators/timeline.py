@@ -78,20 +78,19 @@ def moments(risk: DataFrame, efron: bool) -> DataFrame:
         w, r, zero = F.col("w"), F.col("r"), F.lit(0.0)
         values = [w / r, w / (r * r), zero, zero, zero, zero, w * F.log(r), w * F.log(w)]
         return risk.select("*", *(F.when(F.col("k") > 0, v).otherwise(zero).alias(n) for n, v in zip(names, values)))
-    fails = risk.where("k > 0").select(*KEY, "k", "w", "d", "r")
-    runs = fails.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1, F.lit(RUN).cast("long"))))
+    some = F.col("k") > 0
+    top = F.greatest(F.col("k").cast("long"), F.lit(1).cast("long")) - 1  # a time without failures has one idle member
+    runs = risk.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), top, F.lit(RUN).cast("long"))))
     parts = int(risk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = runs.repartition(parts, "stratum", "t", "first")  # the runs of one large tie go to many tasks
-    members = runs.withColumn("m", F.explode(F.sequence("first", F.least(F.col("first") + (RUN - 1), F.col("k").cast("long") - 1))))
+    members = runs.withColumn("m", F.explode(F.sequence("first", F.least(F.col("first") + (RUN - 1), top))))
     s = F.col("m").cast("double") / F.col("k")
     mean, rm = F.col("w") / F.col("k"), F.col("r") - s * F.col("d")
     sums = [mean / rm, mean / (rm * rm), mean * s / rm, mean * s / (rm * rm), mean * s * s / (rm * rm), mean * s * s / rm, mean * F.log(rm), mean * F.log(1 - s)]
-    got = members.groupBy(*KEY).agg(*(F.sum(v).alias(n) for n, v in zip(names, sums)))
-    got = got.withColumnsRenamed({"stratum": "_s", "t": "_t"})
-    out = risk.join(got, (F.col("stratum") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
-    cols = [F.coalesce(n, F.lit(0.0)).alias(n) for n in names[:-1]]
-    full = F.when(F.col("k") > 0, F.col("w") * F.log("w") + F.col("saturated")).otherwise(0.0)
-    return out.select(*risk.columns, *cols, full.alias("saturated"))
+    others = [c for c in risk.columns if c not in KEY]
+    got = members.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in others), *(F.sum(F.when(some, v).otherwise(0.0)).alias(n) for n, v in zip(names, sums)))
+    full = F.when(some, F.col("w") * F.log("w") + F.col("saturated")).otherwise(0.0)
+    return got.select(*risk.columns, *names[:-1], full.alias("saturated"))
 
 
 def scalars(rows: DataFrame, terms: DataFrame, by_stratum: bool = False) -> DataFrame:
