@@ -39,20 +39,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
     Accelerated gradient descent with a step from the largest eigenvalue; it has no random part.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
-    v = np.ones(x.shape[1], np.float32)
+    v, bias = np.ones(x.shape[1], np.float32), np.float32(1)
     for _ in range(20):
-        v = x.T @ (weight[:, 0] * (x @ v))
-        top = float(np.linalg.norm(v))
-        v /= max(top, 1e-30)
+        u = weight[:, 0] * (x @ v + bias)
+        v, bias = x.T @ u, u.sum()
+        top = float(np.sqrt(v @ v + bias * bias))
+        v, bias = v / max(top, 1e-30), bias / max(top, 1e-30)
     step = 1 / (0.25 * top * 1.05 + ridge)
-    w = last = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    w = last = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     for k in range(rounds):
         at = w + (k / (k + 3)) * (w - last)
-        slope = x.T @ (weight * (-y / (1 + np.exp(np.clip(y * (x @ at), -30, 30)))))
-        slope[:-1] += ridge * at[:-1]
-        last, w = w, at - np.float32(step) * slope.astype(np.float32)
+        pull = weight * (-y / (1 + np.exp(np.clip(y * linear(x, at), -30, 30))))
+        slope = np.concatenate([x.T @ pull + ridge * at[:-1], pull.sum(axis=0, keepdims=True)])
+        last, w = w, (at - step * slope).astype(np.float32)
     return w
 
 

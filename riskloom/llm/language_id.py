@@ -51,14 +51,10 @@ def features(data: list[str]) -> np.ndarray:
 
 
 class Model:
-    """languages, codewords and the weights of a classifier a bit."""
+    """Languages, their codewords and the weights of a classifier a bit."""
 
-    def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
-        self.languages = languages
-        self.code = codewords(len(languages))
-        bits = self.code[y]
-        share = np.bincount(y, minlength=len(languages)).astype(np.float32)
-        self.w = fit_logistic(x, bits, 1 / share[y])
+    def __init__(self, languages: list[str], w: np.ndarray):
+        self.languages, self.code, self.w = languages, codewords(len(languages)), w
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its score in 0..1 and its lead over the second."""
@@ -89,15 +85,29 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
             x = features(texts(part, "t")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("l"), part.column("key"), part.column("i"), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "key", "i", "x"])
 
-    got = sorted(picked.mapInArrow(run, "l string, key long, i string, x binary").collect(), key=lambda r: (r["l"], r["key"], r["i"], r["x"]))
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in got:
-        if seen[r["l"]] < each:
-            seen[r["l"]] += 1
-            kept.append(r)
-    languages = sorted({r["l"] for r in kept})
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in kept]).astype(np.float32)
-    return Model(languages, x, np.array([languages.index(r["l"]) for r in kept]))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: r[:4])
+        kept, seen = [], dict.fromkeys(counts, 0)
+        for r in got:
+            if seen[r[0]] < each:
+                seen[r[0]] += 1
+                kept.append(r)
+        del got
+        if not kept:
+            return
+        languages = sorted({r[0] for r in kept})
+        y = np.array([languages.index(r[0]) for r in kept])
+        x = np.stack([np.frombuffer(r[3], np.float16) for r in kept]).astype(np.float32)
+        del kept
+        share = np.bincount(y, minlength=len(languages)).astype(np.float32)
+        w = fit_logistic(x, codewords(len(languages))[y], 1 / share[y])
+        yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([w.tobytes()], pa.binary())], names=["languages", "w"])
+
+    # the sample is bounded: one task learns from it, and the driver gets the weights alone
+    learnt = picked.mapInArrow(run, "l string, key long, i string, x binary").repartition(1).mapInArrow(train, "languages array<string>, w binary").first()
+    if learnt is None:
+        return None
+    return Model(list(learnt["languages"]), np.frombuffer(learnt["w"], np.float32).reshape(len(ORDERS) * (1 << BITS) + 1, -1))
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str, names: tuple[str, str, str], margin: float = MARGIN) -> DataFrame:

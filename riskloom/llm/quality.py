@@ -117,16 +117,19 @@ def features(data: list[str], ids: np.ndarray, doc: np.ndarray, hashes: np.ndarr
 class Model:
     """Weights and the line that turns margins into log-odds."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    def __init__(self, w: np.ndarray, slope: float, shift: float):
+        self.w, self.slope, self.shift = w, slope, shift
+
+    @classmethod
+    def learn(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+        """Every fourth row is kept for the calibration, if both labels are in either part."""
         hold = np.arange(len(y)) % 4 == 3
         if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
             hold = np.zeros(len(y), bool)
-        learn = ~hold
+        learn, check = ~hold, hold if hold.any() else ~hold
         share = np.array([(y[learn] < 0).sum(), (y[learn] > 0).sum()])
-        self.w = fit_logistic(x[learn], y[learn, None], 1 / share[(y[learn] > 0).astype(int)])
-        check = hold if hold.any() else learn
-        margin = linear(x[check], self.w)[:, 0].astype(np.float64)
-        self.slope, self.shift = calibrate(margin, y[check], weight[check])
+        w = fit_logistic(x[learn], y[learn, None], 1 / share[(y[learn] > 0).astype(int)])
+        return cls(w, *calibrate(linear(x[check], w)[:, 0].astype(np.float64), y[check], weight[check]))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * linear(x, self.w)[:, 0] + self.shift, -50, 50)))
@@ -174,18 +177,26 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
             x = features(data, ids, doc, hashes).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("y"), part.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "key", "x"])
 
-    got = sorted(rows.select("y", "key", "t").mapInArrow(run, "y int, key long, x binary").collect(), key=lambda r: (r["key"], r["y"], r["x"]))
-    kept, seen = [], {0: 0, 1: 0}
-    for r in got:
-        if seen[r["y"]] < sample:
-            seen[r["y"]] += 1
-            kept.append(r)
-    if not all(seen.values()):
-        return None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in kept]).astype(np.float32)
-    y = np.array([1.0 if r["y"] else -1.0 for r in kept], np.float32)
-    weight = np.array([counts[r["y"]] / seen[r["y"]] for r in kept])
-    return Model(x, y, weight * len(y) / weight.sum())
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: (r[1], r[0], r[2]))
+        kept, seen = [], {0: 0, 1: 0}
+        for r in got:
+            if seen[r[0]] < sample:
+                seen[r[0]] += 1
+                kept.append(r)
+        del got
+        if not all(seen.values()):
+            return
+        x = np.stack([np.frombuffer(r[2], np.float16) for r in kept]).astype(np.float32)
+        y = np.array([1.0 if r[0] else -1.0 for r in kept], np.float32)
+        weight = np.array([counts[r[0]] / seen[r[0]] for r in kept])
+        del kept
+        m = Model.learn(x, y, weight * len(y) / weight.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([m.w.tobytes()], pa.binary()), pa.array([m.slope]), pa.array([m.shift])], names=["w", "slope", "shift"])
+
+    # the sample is bounded: one task learns from it, and the driver gets the weights alone
+    learnt = rows.select("y", "key", "t").mapInArrow(run, "y int, key long, x binary").repartition(1).mapInArrow(train, "w binary, slope double, shift double").first()
+    return None if learnt is None else Model(np.frombuffer(learnt["w"], np.float32).reshape(-1, 1), learnt["slope"], learnt["shift"])
 
 
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
