@@ -1,6 +1,6 @@
 """Cox partial likelihood of the rows of a DataFrame.
 
-    cox = CoxDeviance(df, event="time", status="died", start="entry", strata="site")
+    cox = CoxLikelihood(df, event="time", status="died", start="entry", strata="site")
     result = cox("eta")                    # a column or an expression
     result.deviance                        # a number; runs the plan
     result.rows()                          # row_id, gradient, diag_hessian
@@ -29,7 +29,7 @@ def _column(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-class CoxDeviance:
+class CoxLikelihood:
     """Deviance, gradient and information for given linear predictors.
 
     Parameters are column names or expressions over `df`.  `row_id` identifies rows in
@@ -61,7 +61,7 @@ class CoxDeviance:
         if validate:
             self._validate(sample_weight)
         cols["status"] = cols["status"].cast("int")
-        self._results: dict[tuple, CoxDevianceResult] = {}
+        self._results: dict[tuple, CoxResult] = {}
         self._construction_weight = sample_weight
 
     def _validate(self, weight: str | Column | None) -> None:
@@ -93,10 +93,10 @@ class CoxDeviance:
         extra = [v.cast("double").alias(k) for k, v in (more or {}).items()]
         return self.df.select(self._ids.alias("row_id"), *(v.alias(k) for k, v in self._cols.items()), weight.alias("weight"), _column(linear_predictor).cast("double").alias("eta"), *extra)
 
-    def __call__(self, linear_predictor: str | Column, sample_weight: str | Column | None = None) -> CoxDevianceResult:
+    def __call__(self, linear_predictor: str | Column, sample_weight: str | Column | None = None) -> CoxResult:
         key = (str(linear_predictor), str(sample_weight))
         if key not in self._results:
-            self._results[key] = CoxDevianceResult(self, linear_predictor, sample_weight)
+            self._results[key] = CoxResult(self, linear_predictor, sample_weight)
         return self._results[key]
 
     def information(self, linear_predictor: str | Column, sample_weight: str | Column | None = None) -> CoxInformation:
@@ -120,10 +120,10 @@ class CoxDeviance:
         return self.df.select(self._cols["stratum"].alias("stratum"), self._ids.alias("row_id"))
 
 
-class CoxDevianceResult:
+class CoxResult:
     """What a linear predictor and weights give."""
 
-    def __init__(self, cox: CoxDeviance, linear_predictor: str | Column, sample_weight: str | Column | None):
+    def __init__(self, cox: CoxLikelihood, linear_predictor: str | Column, sample_weight: str | Column | None):
         self.cox, self.linear_predictor, self.sample_weight = cox, linear_predictor, sample_weight
         self._terms: DataFrame | None = None
         self._written = False
@@ -180,7 +180,7 @@ class CoxDevianceResult:
 class CoxInformation:
     """The information matrix at one predictor: products with it, never the matrix."""
 
-    def __init__(self, cox: CoxDeviance, linear_predictor: str | Column, sample_weight: str | Column | None):
+    def __init__(self, cox: CoxLikelihood, linear_predictor: str | Column, sample_weight: str | Column | None):
         self.cox, self.linear_predictor, self.sample_weight = cox, linear_predictor, sample_weight
 
     def _terms(self, more: dict[str, Column], names: Sequence[str], pairs: bool = False) -> tuple[DataFrame, DataFrame]:

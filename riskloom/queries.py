@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.api import CoxDeviance
+from riskloom.api import CoxLikelihood
 from riskloom.operators import order
 from riskloom.sources.tables import FEATURES, MICROS_PER_HOUR, VECTORS, WEIGHTS, event_intervals, lifetimes
 
@@ -28,14 +28,14 @@ def _r(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0 AS {name}"
 
 
-def _cox(spark: SparkSession, sf_dir: str, ties: str, start: bool, strata: bool, hours: bool = True, **options) -> CoxDeviance:
+def _cox(spark: SparkSession, sf_dir: str, ties: str, start: bool, strata: bool, hours: bool = True, **options) -> CoxLikelihood:
     rows = event_intervals(spark, sf_dir, hours)
-    return CoxDeviance(rows, "stop", "bought", strata="site" if strata else None, start="entry" if start else None, tie_breaking=ties, row_id="event_id", **options)
+    return CoxLikelihood(rows, "stop", "bought", strata="site" if strata else None, start="entry" if start else None, tie_breaking=ties, row_id="event_id", **options)
 
 
-def _lifetimes(spark: SparkSession, sf_dir: str, ties: str, strata: bool = True) -> CoxDeviance:
+def _lifetimes(spark: SparkSession, sf_dir: str, ties: str, strata: bool = True) -> CoxLikelihood:
     rows = lifetimes(spark, sf_dir)
-    return CoxDeviance(rows, "l_quantity", "returned", strata="l_linestatus" if strata else None, tie_breaking=ties, row_id=F.xxhash64(*rows.columns))
+    return CoxLikelihood(rows, "l_quantity", "returned", strata="l_linestatus" if strata else None, tie_breaking=ties, row_id=F.xxhash64(*rows.columns))
 
 
 # ---- SQL
@@ -209,7 +209,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
             keys = ["l_linestatus", "l_quantity", "returned", "l_discount", "l_tax"]
             key = F.concat_ws("|", "l_linestatus", *(F.round(F.col(c) * 100).cast("long") for c in keys[1:]))
             full = lifetimes(spark, d).withColumn("key", key)
-            cox = CoxDeviance(full, "l_quantity", "returned", strata="l_linestatus", tie_breaking=ties, row_id="key")
+            cox = CoxLikelihood(full, "l_quantity", "returned", strata="l_linestatus", tie_breaking=ties, row_id="key")
             got = cox(5 * F.col("l_tax"), 10 * F.col("l_discount")).rows()  # rows alike have results alike
             counted = rows.select(key.alias("_key"), "n")
             return _rounded(got.groupBy("row_id").agg(F.min("gradient").alias("gradient"), F.min("diag_hessian").alias("diag_hessian")).join(counted, F.col("row_id") == F.col("_key")).select("row_id", "gradient", "diag_hessian", "n"))
@@ -227,7 +227,7 @@ c AS (SELECT {key} AS row_id, any_value(o.n) AS n, any_value(o.weight * o.status
 SELECT row_id, {_r("-2 * (wd - e * t1)", "gradient")}, {_r("2 * (e * t1 - e * e * t2)", "diag_hessian")}, CAST(n AS BIGINT) AS n FROM c"""
         out[f"cox_lifetime_rows_{ties}"] = lifetime_rows(ties), sql
 
-    def indexed(strata: bool) -> Callable[[SparkSession, str], tuple[CoxDeviance, Column]]:
+    def indexed(strata: bool) -> Callable[[SparkSession, str], tuple[CoxLikelihood, Column]]:
         return lambda spark, d: (_cox(spark, d, "efron", True, strata), F.expr(WEIGHTS["zeros"]))
 
     def index(strata: bool) -> Query:

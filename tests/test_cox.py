@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from riskloom.api import CoxDeviance
+from riskloom.api import CoxLikelihood
 from riskloom.operators import order
 
 NEG = float("-inf")
@@ -92,7 +92,7 @@ def test_against_the_definition(spark, all_patterns, ties, starts, strata, weigh
         rows = rows[:400]
     want, (dev, sat), quad = definition(rows, ties == "efron", starts, strata, weight == "ones")
     df = spark.createDataFrame(rows, COLS)
-    cox = CoxDeviance(df, "event", "status", strata="g" if strata else None, start="start" if starts else None, tie_breaking=ties, row_id="i", validate=starts)
+    cox = CoxLikelihood(df, "event", "status", strata="g" if strata else None, start="start" if starts else None, tie_breaking=ties, row_id="i", validate=starts)
     w = None if weight == "ones" else "w"
     result = cox("eta", w)
     assert result.deviance == pytest.approx(dev, rel=1e-10, abs=1e-8) and result.loglik_sat == pytest.approx(sat, rel=1e-10, abs=1e-8)
@@ -118,7 +118,7 @@ GOLDEN = [
 def test_golden(spark, golden):
     ties, start, dev, sat, grad, diag, iv, total, reference = golden
     df = spark.createDataFrame(DOC, "i long, start long, event long, status int, eta double, weight double")
-    cox = CoxDeviance(df, "event", "status", start=start, tie_breaking=ties, row_id="i")
+    cox = CoxLikelihood(df, "event", "status", start=start, tie_breaking=ties, row_id="i")
     result = cox("eta", "weight")
     assert (round(result.deviance, 10), round(result.loglik_sat, 10)) == (dev, sat)
     got = cox.information("eta", "weight").rows("i").orderBy("row_id").collect()
@@ -126,7 +126,7 @@ def test_golden(spark, golden):
     assert [round(r.diag_hessian, 8) for r in got[:3]] == list(diag)
     assert [round(r.iv_0, 8) for r in got[:3]] == list(iv)
     assert sum(r.diag_hessian for r in got) == pytest.approx(total, abs=1e-9)
-    other = CoxDeviance(df, "event", "status", start=start, tie_breaking=ties, row_id="i", compat="reference")("eta", "weight").rows().collect()
+    other = CoxLikelihood(df, "event", "status", start=start, tie_breaking=ties, row_id="i", compat="reference")("eta", "weight").rows().collect()
     assert sum(r.diag_hessian for r in other) == pytest.approx(reference, abs=1e-9)
 
 
@@ -134,7 +134,7 @@ def test_documented_example(spark):
     event, status = [3, 6, 8, 4, 6, 4, 3, 2, 2, 5, 3, 4], [1, 1, 0, 1, 0, 1, 1, 0, 1, 1, 0, 1]
     rows = [(i, e, s, -1 + 2 * i / 11) for i, (e, s) in enumerate(zip(event, status))]
     df = spark.createDataFrame(rows, "i long, event long, status int, eta double")
-    efron, breslow = (CoxDeviance(df, "event", "status", tie_breaking=t)("eta") for t in ("efron", "breslow"))
+    efron, breslow = (CoxLikelihood(df, "event", "status", tie_breaking=t)("eta") for t in ("efron", "breslow"))
     assert (efron.deviance, efron.loglik_sat) == pytest.approx((25.1942820963, -2.4849066498), abs=1e-9)
     assert (breslow.deviance, breslow.loglik_sat) == pytest.approx((22.2219212850, -4.6821312271), abs=1e-9)
     whole = [(i, 0, NEG, float(e), s, 1.0, eta, 0.0, 0.0) for i, e, s, eta in rows]
@@ -145,7 +145,7 @@ def test_documented_example(spark):
 @pytest.mark.parametrize("ties", ["breslow", "efron"])
 def test_invariances(spark, all_patterns, ties):
     rows = with_zeros(all_patterns)[:900]
-    make = lambda rs: CoxDeviance(spark.createDataFrame(rs, COLS), "event", "status", strata="g", start="start", tie_breaking=ties, row_id="i")
+    make = lambda rs: CoxLikelihood(spark.createDataFrame(rs, COLS), "event", "status", strata="g", start="start", tie_breaking=ties, row_id="i")
     cox = make(rows)
     got = cox.information("eta", "w").rows(F.lit(1.0), "v", "x").collect()
     assert max(abs(r.iv_0) for r in got) < 1e-9  # I times 1
@@ -164,7 +164,7 @@ def test_without_ties_the_rules_agree(spark):
     rng = np.random.default_rng(3)
     rows = [(i, 0, float(-rng.random()), float(i + 1), int(rng.random() < 0.5), 1.0, float(rng.normal()), 0.0, 0.0) for i in range(60)]
     df = spark.createDataFrame(rows, COLS)
-    a, b = (CoxDeviance(df, "event", "status", start="start", tie_breaking=t, row_id="i") for t in ("efron", "breslow"))
+    a, b = (CoxLikelihood(df, "event", "status", start="start", tie_breaking=t, row_id="i") for t in ("efron", "breslow"))
     assert a("eta").deviance == pytest.approx(b("eta").deviance)
     assert np.allclose(*([r.diag_hessian for r in c("eta").rows().orderBy("row_id").collect()] for c in (a, b)))
 
@@ -172,7 +172,7 @@ def test_without_ties_the_rules_agree(spark):
 def test_clipping_censoring_and_large_ties(spark):
     rows = [(i, i % 2, NEG, 1.0 + (i >= 20_000), int(i % 2 == 0), 1.0, 0.0, 0.0, 0.0) for i in range(40_000)]  # stratum 1 has no failure
     df = spark.createDataFrame(rows, COLS)
-    got = CoxDeviance(df, "event", "status", strata="g", row_id="i")("eta").scalars(by_stratum=True).collect()
+    got = CoxLikelihood(df, "event", "status", strata="g", row_id="i")("eta").scalars(by_stratum=True).collect()
     by = {r.stratum: r for r in got}
     assert (by[1].deviance, by[1].loglik_sat) == (0.0, 0.0)
     n = 10_000
@@ -181,13 +181,13 @@ def test_clipping_censoring_and_large_ties(spark):
     assert by[0].loglik == pytest.approx(-first - sum(math.log(n - m) for m in range(n)))
     assert by[0].loglik_sat == pytest.approx(-2 * (n * math.log(n) + ties))
     big = spark.createDataFrame([(0, 0, NEG, 1.0, 1, 1.0, 100.0, 0.0, 0.0), (1, 0, NEG, 2.0, 1, 1.0, 0.0, 0.0, 0.0)], COLS)
-    result = CoxDeviance(big, "event", "status", row_id="i")("eta")
+    result = CoxLikelihood(big, "event", "status", row_id="i")("eta")
     assert result.clipped_rows == 1 and result.loglik == pytest.approx(50 - 50 - math.log(math.exp(30) + math.exp(-50)) - -50)
 
 
 def test_covariance_and_score(spark, all_patterns):
     df = spark.createDataFrame(all_patterns[:500], COLS)
-    cox = CoxDeviance(df, "event", "status", strata="g", start="start", row_id="i")
+    cox = CoxLikelihood(df, "event", "status", strata="g", start="start", row_id="i")
     info = cox.information("eta", "w")
     m = info.covariance(["v", "x"])
     rows = info.rows("v", "x").collect()
@@ -200,12 +200,12 @@ def test_covariance_and_score(spark, all_patterns):
 
 def test_results_are_bound_and_remembered(spark):
     df = spark.createDataFrame(DOC, "i long, start long, event long, status int, eta double, weight double")
-    cox = CoxDeviance(df, "event", "status", start="start", row_id="i")
+    cox = CoxLikelihood(df, "event", "status", start="start", row_id="i")
     one, info = cox("eta", "weight"), cox.information("eta", "weight")
     before = info.matvec("i").orderBy("row_id").collect()
     assert cox(F.col("eta") * 2, "weight") is not one and cox("eta", "weight") is one
     assert info.matvec("i").orderBy("row_id").collect() == before and info.adjoint("i").orderBy("row_id").collect() == before
-    weighted = CoxDeviance(df, "event", "status", start="start", sample_weight="weight", row_id="i")
+    weighted = CoxLikelihood(df, "event", "status", start="start", sample_weight="weight", row_id="i")
     assert weighted("eta").deviance == pytest.approx(cox("eta").deviance) and weighted("eta").deviance != pytest.approx(one.deviance)
 
 
@@ -227,18 +227,18 @@ def test_validation(spark, change, text):
     for name, to in change.items():
         df = df.withColumn(name, F.expr(to))
     with pytest.raises(ValueError, match=text):
-        CoxDeviance(df, "event", "status", strata="g", start="start", sample_weight="w", row_id="i")
+        CoxLikelihood(df, "event", "status", strata="g", start="start", sample_weight="w", row_id="i")
 
 
 def test_options_are_checked(spark):
     df = spark.createDataFrame([(0, 0, 0.0, 1.0, 1, 1.0, 0.0, 0.0, 0.0)], COLS)
     for bad in ({"tie_breaking": "exact"}, {"compat": "x"}):
         with pytest.raises(ValueError):
-            CoxDeviance(df, "event", "status", **bad)
+            CoxLikelihood(df, "event", "status", **bad)
     with pytest.raises(ValueError, match="strata"):
-        CoxDeviance(df, "event", "status", strata="w")
+        CoxLikelihood(df, "event", "status", strata="w")
     flags = df.withColumn("status", F.col("status") == 1).withColumn("g", F.lit("north"))
-    assert CoxDeviance(flags, "event", "status", strata="g")("eta").deviance == 0.0
+    assert CoxLikelihood(flags, "event", "status", strata="g")("eta").deviance == 0.0
 
 
 def brute_index(rows):
@@ -263,7 +263,7 @@ def brute_index(rows):
 def test_index_and_kernels(spark, all_patterns):
     rows = with_zeros(all_patterns)[:700]
     df = spark.createDataFrame(rows, COLS)
-    cox = CoxDeviance(df, "event", "status", strata="g", start="start", sample_weight="w", row_id="i")
+    cox = CoxLikelihood(df, "event", "status", strata="g", start="start", sample_weight="w", row_id="i")
     idx = cox.risk_index()
     want = brute_index(rows)
     got = {r.row_id: (r.event_order, r.start_order, r["first"], r["last"], r.scaling, r.event_map, r.start_map) for r in idx.collect()}
