@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Text bytes that are worked on at once inside a Python worker.
 SLICE_BYTES = 4 << 20
@@ -71,6 +71,28 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+BITMAP_BITS = 23
+
+
+def bitmap(df: DataFrame, *cols: Column) -> DataFrame:
+    """word, bits: a hash bitmap of the values in `cols`, at most 2 ** (BITMAP_BITS - 6) rows whatever `df` holds."""
+    h = F.pmod(F.xxhash64(*cols), F.lit(1 << BITMAP_BITS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63))
+    return df.select(F.shiftright(h, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def split_by(df: DataFrame, words: DataFrame, *cols: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose values in `cols` may be in a bitmap, and those whose values surely aren't.
+
+    The bitmap is broadcast, as its size is bounded; a full one only sends more rows to the first part.
+    """
+    word, bits, h = fresh(df, "word", "bits", "h")
+    marked = df.withColumn(h, F.pmod(F.xxhash64(*cols), F.lit(1 << BITMAP_BITS)).cast("int"))
+    marked = marked.join(F.broadcast(words.toDF(word, bits)), F.shiftright(h, 6) == F.col(word), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), F.col(h).bitwiseAND(63)).bitwiseAND(1) == 1, F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like `names` that no column of `df` has, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

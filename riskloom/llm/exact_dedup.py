@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import fresh, materialise, slices, texts
+from .common import bitmap, fresh, materialise, slices, split_by, texts
 
 BLANKS = b" \t\n\r\x0b\x0c"
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
@@ -121,8 +121,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     r = materialise(_recipes(df, id_col, text_col, hash_bits), "recipes")
     twice = r.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
-    suspects = r.join(twice.select("recipe"), "recipe", "left_semi").select(F.col("id").alias("s_id")).distinct()
-    moved = _contents(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(suspects, F.col("id").eqNullSafe(F.col("s_id")), "left_semi"), "text", hash_bits)
+    # documents that aren't suspects don't move: a bitmap of the suspects' ids leaves nearly all of them out
+    suspects = r.join(twice.select("recipe"), "recipe", "left_semi").select("id")
+    looked_at, _ = split_by(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), materialise(bitmap(suspects, F.col("id")), "suspects"), F.col("id"))
+    moved = _contents(looked_at, "text", hash_bits)
     distinct = moved.groupBy("hash", "bytes").agg(F.count("*").alias("n"))
     unlike = materialise(distinct.groupBy("hash").agg(F.count("*").alias("contents")).where("contents > 1").select("hash"), "unlike")
     r = r.withColumn("variants", F.lit(None).cast("array<int>"))
@@ -157,7 +159,9 @@ def with_sha(df: DataFrame, text_col: str, name: str) -> DataFrame:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df`, all columns, that `exact_dedup` keeps; of repeated rows one."""
     sha, k_id, k_sha, n = fresh(df, "sha", "k_id", "k_sha", "n")
-    stay = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha))
-    rows = with_sha(df, text_col, sha).join(stay, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi")
+    decided = materialise(exact_dedup(df, id_col, text_col).select(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha), "kept"), "decided")
+    # only rows whose id may be one of a dropped row are looked up: the others stay where they are
+    doubtful, sure = split_by(df, bitmap(decided.where("NOT kept"), F.col(k_id)), F.col(id_col))
+    rows = with_sha(doubtful, text_col, sha).join(decided.where("kept"), F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi")
     one = Window.partitionBy(id_col, sha).orderBy(F.lit(0))
-    return rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*df.columns)
+    return sure.unionByName(rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*df.columns))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import fresh, materialise, slices, texts
+from .common import bitmap, fresh, materialise, slices, split_by, texts
 
 WORDS, THRESHOLD = 5, 0.8
 # A pair at the threshold shares no band with probability (1 - 0.8**4)**24, about 3e-6.
@@ -380,9 +380,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = bands.join(buckets, "key").join(classes.select("c", "n", "keys", "sig"), "c")
     tiles = _dealt(_tiles(members, part))
     pairs = materialise(tiles.mapInArrow(_prune(least_matches(threshold, tolerance), exact), "key long, ti int, tj int, c long, partners binary"), "pairs")
-    needed = pairs.select("c").distinct().join(classes.select("c", "class_size", "f1", "f2", F.col("first.id").alias("id")), "c")
-    found = df.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text")).join(needed, F.col("t_id").eqNullSafe(F.col("id"))).select("c", "class_size", "f1", "f2", "text")
-    sets = found.mapInArrow(_sets(width), "c long, class_size long, set binary").dropDuplicates(["c"])
+    needed = materialise(pairs.select("c").distinct().join(classes.select("c", "class_size", "f1", "f2", F.col("first.id").alias("id")), "c"), "needed")
+    # texts aren't shuffled: a bitmap of the ids finds nearly all others, and the sets of the rest meet their classes
+    found, _ = split_by(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bitmap(needed, F.col("id")), F.col("id"))
+    sets = found.select("text").mapInArrow(_sets(width), "f1 long, f2 long, set binary").join(needed.drop("id"), ["f1", "f2"]).select("c", "class_size", "set").dropDuplicates(["c"])
     checked = _dealt(pairs.join(sets, "c")).mapInArrow(_verify(exact), "c long, links long, linked_rows long, root long")
     links = materialise(checked, "links")
     counts = links.groupBy("c").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
@@ -406,15 +407,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sets(width: int) -> Callable:
-    """The sets of the rows whose fingerprint is the one looked for."""
+    """The set of each text and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = distinct_sets(texts(part, "text"), width)
-            prints = list(zip(part.column("f1").to_pylist(), part.column("f2").to_pylist()))
-            at = [i for i, (s, p) in enumerate(zip(sets, prints)) if fingerprint(s) == p]
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("c").take(take), part.column("class_size").take(take), pa.array([sets[i].astype("<u8").tobytes() for i in at], pa.binary())], names=["c", "class_size", "set"])
+            prints = [fingerprint(s) for s in sets]
+            cols = [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["f1", "f2", "set"])
 
     return run
 
@@ -422,7 +422,9 @@ def _sets(width: int) -> Callable:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `df`, all columns, that `jaccard_join` keeps: one of each group."""
     t1, t2, k_id, k1, k2, n, times = fresh(df, "t1", "t2", "k_id", "k1", "k2", "n", "times")
-    stay = jaccard_join(df, id_col, text_col, **options).where("kept").select(F.col(id_col).alias(k_id), F.col("t1").alias(k1), F.col("t2").alias(k2))
+    decided = materialise(jaccard_join(df, id_col, text_col, **options).select(F.col(id_col).alias(k_id), F.col("t1").alias(k1), F.col("t2").alias(k2), "kept"), "decided")
+    # only rows whose id may be one of a dropped row are looked up: the others stay where they are
+    doubtful, sure = split_by(df, bitmap(decided.where("NOT kept"), F.col(k_id)), F.col(id_col))
     schema = T.StructType([*df.schema.fields, T.StructField(t1, T.LongType()), T.StructField(t2, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,9 +432,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             own = [text_key(x) for x in texts(part, text_col)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64())], names=schema.names)
 
-    rows = df.mapInArrow(run, schema)
     # of rows that repeat id and text some may stay (those without words): as many as are kept
-    stay = stay.groupBy(k_id, k1, k2).agg(F.count("*").alias(times))
-    joined = rows.join(stay, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)))
+    stay = decided.where("kept").groupBy(k_id, k1, k2).agg(F.count("*").alias(times))
+    joined = doubtful.mapInArrow(run, schema).join(stay, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)))
     one = Window.partitionBy(id_col, t1, t2).orderBy(F.lit(0))
-    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) <= F.col(times)).select(*df.columns)
+    return sure.unionByName(joined.withColumn(n, F.row_number().over(one)).where(F.col(n) <= F.col(times)).select(*df.columns))
