@@ -71,7 +71,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     """Learn from rows that aren't held out: at most `sample` of a language and MOST_SAMPLE in all,
     those whose ids have the smallest hashes."""
     rows = df.where(crc32_mod(id_col, FOLDS) != HELD_OUT).where(F.col(lang_col).isNotNull() & (F.trim(F.col(text_col)) != "")).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("i", 0.02).alias("n")).collect()}
     counts = {k: n for k, n in counts.items() if k != UNKNOWN}
     if not counts:
         return None
@@ -79,6 +79,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     key = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, (1 << 30) * min(1.0, (1.3 * each + 40) / n))))
     picked = rows.withColumn("key", key).where(F.col("key") < F.try_element_at(share, F.col("l")))
+    picked = picked.groupBy("l", "i", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", SLICE):

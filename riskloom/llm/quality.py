@@ -169,6 +169,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     bound = F.when(F.col("y") == 1, (1 << 30) * min(1.0, (1.3 * sample + 40) / counts[1])).otherwise((1 << 30) * min(1.0, (1.3 * sample + 40) / counts[0]))
     picked = marked.withColumn("key", key).where(F.col("key") < bound)  # about 1.3 * sample rows of either label: small at any size
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "i")
+    rows = rows.groupBy("i", "y", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", SLICE):
