@@ -254,3 +254,17 @@ def test_mixing_with_more_sources_than_are_broadcast(edge, monkeypatch):
 def test_large_means(spark):
     got = spark.range(1).select(mixing.poisson_cdf(F.lit(2000.0)).alias("c")).first().c
     assert got[-1] == pytest.approx(1, abs=1e-9) and got[2000] == pytest.approx(0.5, abs=0.02) and all(a <= b for a, b in zip(got, got[1:]))
+
+
+def test_samples_stay_bounded_when_an_id_is_repeated(spark):
+    """A third of the rows have one id: it may be learned from once at most."""
+    docs, labels = quality_docs()
+    hot = [(i, docs[i][1]) for i in range(300)] + [(1, docs[1][1])] * 3000
+    df, lb = spark.createDataFrame(hot, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = quality.fit(spark.createDataFrame(docs[:300], "doc_id long, text string"), lb, "doc_id", "text", "quality")
+    same = quality.fit(df, lb, "doc_id", "text", "quality")
+    assert np.allclose(plain.w, same.w) and (plain.slope, plain.shift) == pytest.approx((same.slope, same.shift))
+    langs = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    a = language_id.fit(langs.where("doc_id <> 1").unionByName(langs.where("doc_id = 1").limit(1)), "doc_id", "text", "lang")
+    b = language_id.fit(langs, "doc_id", "text", "lang")
+    assert a.languages == b.languages and np.allclose(a.w, b.w)
