@@ -44,7 +44,7 @@ MULTIPLY, FLIP = _constants(BANDS * ROWS + CHECKS, 1), _constants(BANDS * ROWS +
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -25,54 +25,36 @@ from tokenizers import Tokenizer
 from .common import slices, texts
 
 BLOCK_SEQUENCES = 512
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 # Characters that Python splits at but the tokenizer keeps.
 _KEPT_BLANKS = re.compile("[\x1c-\x1f]")
-# Words of these characters alone fall apart like this, whatever their neighbours; others are encoded whole.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+# For texts in Latin-1: lower case, its two further blanks as blanks; and full stops and commas as P, other symbols as S.
+_LOWER = bytes(32 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(256))
+_CLASS = bytes(ord("P") if chr(i) in ".," else 32 if chr(i).isspace() and not 0x1C <= i <= 0x1F else ord("w") if chr(i).isalnum() else ord("S") for i in range(256))
 
 
 class WordEncoder(dict):
     """word -> its token ids as little-endian uint32 bytes; a bounded cache.
 
+    For tokenizers that split at blanks, and between letters and symbols,
+    before anything else, and that lower the case, so that a text's ids are its words' ids in order.
     When it is full its words step back to a second cache, from which those
     that come again return; what was in there goes.
-    For tokenizers that split at blanks before anything else, so that a text's
-    ids are its words' ids in order.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[bytes | str, bytes] = {}
 
     def ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, s: str) -> bytes:
-        known = self.parts.get(s)
-        if known is None:
-            if len(self.parts) > CACHED_WORDS:
-                self.parts, self.older_parts = {}, self.parts
-            known = self.older_parts.get(s)
-            if known is None:
-                known = self.ids(s)
-            self.parts[s] = known
-        return known
-
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes | str) -> bytes:
         known = self.older.get(word)
         if known is None:
-            if word.isascii() and word.isalpha():
-                known = self.part(word.lower())
-            elif _PLAIN.fullmatch(word) and not any(t in word for t in self.specials):
-                known = b"".join(map(self.part, _PARTS.findall(word.lower())))
-            else:
-                known = self.ids(word)
+            known = self.ids(word.decode("latin-1") if isinstance(word, bytes) else word)
         if len(self) > CACHED_WORDS:
             self.older = dict(self)
             self.clear()
@@ -81,9 +63,20 @@ class WordEncoder(dict):
         return known
 
     def text(self, text: str) -> bytes:
-        if _KEPT_BLANKS.search(text):
+        """The ids of a text."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            if _KEPT_BLANKS.search(text):
+                return self.ids(text)
+            return b"".join(map(self.__getitem__, text.split()))
+        lower = raw.translate(_LOWER)
+        if any(s in lower for s in self.specials):  # what is special goes by the letters as they are
             return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        kinds = raw.translate(_CLASS)
+        if not (b"PP" in kinds or b"PS" in kinds or b"SP" in kinds):  # else a run of symbols would be cut
+            lower = lower.replace(b",", b" , ").replace(b".", b" . ")
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
