@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,8 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Text bytes that are worked on at once inside a Python worker.
-SLICE_BYTES = 4 << 20
+# Text bytes and rows that are worked on at once inside a Python worker.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +47,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each part holds about `limit` bytes of `column`.
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again, by other operators too."""
+    gc.collect()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each part holds about `limit` bytes of `column` and at most `rows` rows.
 
     A text longer than that stands alone, whole.
     """
@@ -53,12 +63,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, size in enumerate(sizes.tolist()):
-            if held and held + size > limit:
+            if (held and held + size > limit) or i - start >= rows:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

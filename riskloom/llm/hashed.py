@@ -34,6 +34,15 @@ def frequencies(doc: np.ndarray, bins: np.ndarray, docs: int, bits: int) -> np.n
     return np.sqrt(counts / np.maximum(total, 1))
 
 
+def rows_of(data: list[bytes]) -> np.ndarray:
+    """A matrix from rows of half-precision bytes; `data` is emptied on the way."""
+    x = np.empty((len(data), len(data[0]) // 2), np.float32)
+    for i in range(len(data)):
+        x[i] = np.frombuffer(data[i], np.float16)
+        data[i] = b""
+    return x
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> np.ndarray:
     """Weights of logistic regressions, a column per column of y (each -1 or 1), the bias in the last row.
 

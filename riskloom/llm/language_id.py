@@ -15,15 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc32_mod, fresh, slices, texts
-from .hashed import LETTERS_ONLY, byte_ngrams, fit_logistic, frequencies, linear
+from .common import crc32_mod, fresh, release, slices, texts
+from .hashed import LETTERS_ONLY, byte_ngrams, fit_logistic, frequencies, linear, rows_of
 
 BITS = 12
 ORDERS = (2, 3, 4)
 SAMPLE, MOST_SAMPLE = 500, 6000
 FOLDS, HELD_OUT = 4, 2
 MARGIN = 0.1
-SLICE = 1 << 20
+SLICE = 1 << 20, 256
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -82,7 +82,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     picked = picked.groupBy("l", "i", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", SLICE):
+        for part in slices(batches, "t", *SLICE):
             x = features(texts(part, "t")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("l"), part.column("key"), part.column("i"), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "key", "i", "x"])
 
@@ -98,10 +98,13 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
             return
         languages = sorted({r[0] for r in kept})
         y = np.array([languages.index(r[0]) for r in kept])
-        x = np.stack([np.frombuffer(r[3], np.float16) for r in kept]).astype(np.float32)
+        cells = [r[3] for r in kept]
         del kept
+        x = rows_of(cells)
         share = np.bincount(y, minlength=len(languages)).astype(np.float32)
         w = fit_logistic(x, codewords(len(languages))[y], 1 / share[y])
+        del x
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([w.tobytes()], pa.binary())], names=["languages", "w"])
 
     # the sample is bounded: one task learns from it, and the driver gets the weights alone
@@ -117,7 +120,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str, names: tuple[str,
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, SLICE):
+        for part in slices(batches, text_col, *SLICE):
             data = texts(part, text_col)
             known = [model is not None and _LETTER.search(x) is not None for x in data]
             lang, score, unsure = [UNKNOWN] * len(data), [0.0] * len(data), [True] * len(data)

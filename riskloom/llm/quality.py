@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices, texts
-from .hashed import byte_ngrams, fit_logistic, frequencies, linear
+from .common import release, slices, texts
+from .hashed import byte_ngrams, fit_logistic, frequencies, linear, rows_of
 
 BITS = 12
 SAMPLE = 1500
 THRESHOLD = 0.5
-SLICE = 1 << 20
+SLICE = 1 << 20, 256
 WINDOW = 8
 _BLANK = re.compile("[\x20\x09-\x0d]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -172,7 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     rows = rows.groupBy("i", "y", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", SLICE):
+        for part in slices(batches, "t", *SLICE):
             data = texts(part, "t")
             _, ids, doc, hashes = tokenised(data)
             x = features(data, ids, doc, hashes).astype(np.float16)
@@ -188,11 +188,14 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         del got
         if not all(seen.values()):
             return
-        x = np.stack([np.frombuffer(r[2], np.float16) for r in kept]).astype(np.float32)
         y = np.array([1.0 if r[0] else -1.0 for r in kept], np.float32)
         weight = np.array([counts[r[0]] / seen[r[0]] for r in kept])
+        cells = [r[2] for r in kept]
         del kept
+        x = rows_of(cells)
         m = Model.learn(x, y, weight * len(y) / weight.sum())
+        del x
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([m.w.tobytes()], pa.binary()), pa.array([m.slope]), pa.array([m.shift])], names=["w", "slope", "shift"])
 
     # the sample is bounded: one task learns from it, and the driver gets the weights alone
@@ -216,7 +219,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, SLICE):
+        for part in slices(batches, text_col, *SLICE):
             data = texts(part, text_col)
             words, ids, doc, hashes = tokenised(data)
             c = base_counts(data, words, ids, doc)
