@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 PIECE, WORD = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 SP, TK = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(WORD)
-ODD = st.text(alphabet=st.sampled_from(list("abetion  \n\t▁éß漢😀\x00\x1c\x85 ,.'<>|s/")), max_size=60)
+ODD = st.text(alphabet=st.sampled_from(list("abetion  \n\t▁éß漢😀\x00\x1c\x85\xa0 ,.'<>|s/")), max_size=60)
+LATIN = st.text(alphabet=st.one_of(st.sampled_from(list("aeTN  \n..,,'sSÉßµª²_-<|")), st.characters(max_codepoint=255)), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
@@ -30,9 +31,17 @@ def test_word_ids_are_the_library_s(text):
     assert ids == TK.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=1500, deadline=None)
+@given(LATIN)
+def test_word_ids_of_latin_texts(text):
+    ids = np.frombuffer(packing.encoder(WORD).text(text), "<u4").tolist()
+    assert ids == TK.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings():
     for text in ("<s> </s> <unk> <0x41>", "a<s>b"):
         assert int(token_counts.counter(PIECE).table(text)[-1]) == len(SP.encode(text))
+    assert np.frombuffer(packing.encoder(WORD).text("<|ENDoftext|> x. <|endoftext|>"), "<u4").tolist() == TK.encode("<|ENDoftext|> x. <|endoftext|>", add_special_tokens=False).ids
     text = "a <|endoftext|>b<|startoftext|> It's DON'T we'll 'S"
     assert np.frombuffer(packing.encoder(WORD).text(text), "<u4").tolist() == TK.encode(text, add_special_tokens=False).ids
 
