@@ -121,8 +121,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """
     r = materialise(_recipes(df, id_col, text_col, hash_bits), "recipes")
     twice = r.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
-    # documents that aren't suspects don't move: a bitmap of the suspects' ids leaves nearly all of them out
-    suspects = r.join(twice.select("recipe"), "recipe", "left_semi").select("id")
+    # documents that aren't suspects don't move: bitmaps of the suspects' recipes and ids leave nearly all of them out
+    suspects, _ = split_by(r, materialise(bitmap(twice, F.col("recipe")), "twice"), F.col("recipe"))
     looked_at, _ = split_by(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), materialise(bitmap(suspects, F.col("id")), "suspects"), F.col("id"))
     moved = _contents(looked_at, "text", hash_bits)
     distinct = moved.groupBy("hash", "bytes").agg(F.count("*").alias("n"))
