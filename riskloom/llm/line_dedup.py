@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh
+from .common import bitmap, fresh, materialise, split_by
 
 WINDOW = 3
 
@@ -53,8 +53,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     An empty table gives an empty result.
     """
     n_lines, n_removed, removed, key, covered, all_lines = fresh(df, "n_lines", "n_removed", "removed", "key", "covered", "all_lines")
-    found = covered_lines(df, id_col, text_col, width).toDF(key, covered)
-    out = df.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(all_lines, _lines(text_col))
+    found = materialise(covered_lines(df, id_col, text_col, width).toDF(key, covered), "covered")
+    # only documents that may lose lines are moved to meet their positions
+    some, rest = split_by(df, bitmap(found, F.col(key)), F.col(id_col))
+    out = some.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+    out = out.unionByName(rest.withColumn(covered, F.lit(None).cast("array<int>"))).withColumn(all_lines, _lines(text_col))
     lines, gone = F.col(all_lines), F.col(covered)
     out = out.withColumn(removed, F.coalesce(F.filter(gone, lambda p: p < F.size(lines)), F.array().cast("array<int>")))
     out = out.withColumn(n_removed, F.size(removed).cast("long")).withColumn(n_lines, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
