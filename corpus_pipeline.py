@@ -11,21 +11,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from riskloom.llm.common import materialise
+from riskloom.llm.common import materialise, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language is ambiguous."""
+    small_batches(spark)
     return language_id.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts keep the one with the smallest id."""
+    small_batches(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingles keep the one with the smallest id."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -36,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents' tokens into sequences of 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
 
 

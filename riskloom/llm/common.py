@@ -47,6 +47,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have this session's queries hand whole texts to Python 2,000 rows at a time: an Arrow batch exists some four times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers are used again, by other operators too."""
     gc.collect()
