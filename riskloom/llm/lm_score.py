@@ -2,7 +2,7 @@
 
 The model is learned from n-gram counts of all training documents, with
 Dirichlet smoothing: p(w | g) = (c(g w) + k p(w | g')) / (c(g) + k), where g'
-is g without its first word.  As an automaton each context that occurs is a
+is g without its first word and k depends on the length of g.  As an automaton each context that occurs is a
 state, each n-gram that occurs an arc with its log-probability, and each state
 has a failure arc to g' with weight log(k / (c(g) + k)).  A text is scored by
 one traversal from left to right.
@@ -17,6 +17,8 @@ these a block builds the part of the automaton that its texts can reach.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import crc32_mod, materialise
 
-ORDER = 2
-# Best for documents with remainder 1 under a model of those with 2 to 9.
+# Of orders 2, 3 and 4, and of priors for contexts of 1, 2 and 3 words, the best for documents with remainder 1 under a model of those with 2 to 9.
+ORDER, PRIORS = 4, (8000.0, 500.0, 0.5)
+# For any other order: the best at order 2.
 PRIOR = 500.0
 FOLDS, HELD_OUT = 10, 0
 ADD = 0.1
@@ -179,6 +182,14 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=_names(ANSWER))
 
 
+def _priors(prior: float | Sequence[float], order: int) -> list[float]:
+    """The prior of contexts of 1, 2, ... words."""
+    priors = [float(prior)] * (order - 1) if isinstance(prior, (int, float)) else [float(x) for x in prior]
+    if len(priors) != order - 1:
+        raise ValueError(f"order {order} needs {order - 1} priors, not {len(priors)}")
+    return priors
+
+
 class Automaton:
     """States, arcs and failure arcs over a block's word numbers; state 0 is the empty context.
 
@@ -186,7 +197,7 @@ class Automaton:
     with the probability of a word not seen.
     """
 
-    def __init__(self, b: Block, counts: list[np.ndarray], total: int, distinct: int, docs: int, prior: float):
+    def __init__(self, b: Block, counts: list[np.ndarray], total: int, distinct: int, docs: int, prior: float | Sequence[float]):
         order, self.v = len(counts), b.v
         uni = np.log10((counts[0] + ADD) / (total + ADD * (distinct + 1)))
         context = counts[0].copy()  # how often each word is a context
@@ -209,15 +220,18 @@ class Automaton:
                 spot = np.minimum(np.searchsorted(own, code), len(own) - 1)
                 shorter = spot
             back.append(shorter)
+        priors = _priors(prior, order)
         for k in range(len(state)):
             has = state[k] > 0
-            self.fail_weight[state[k][has]] = np.log10(prior / (seen[k][has] + prior))
+            if k < len(priors):
+                self.fail_weight[state[k][has]] = np.log10(priors[k] / (seen[k][has] + priors[k]))
             if k:
                 self.fail[state[k][has]] = state[k - 1][back[k][has]]
         keys, logp, nxt = [np.arange(b.v)], [uni], [state[0] if order > 1 else np.zeros(b.v, np.int64)]
         p = [10.0**uni]
         for k in range(1, order):
             h = seen[k - 1][b.prefix[k]]
+            prior = priors[k - 1]
             p.append(np.where(h > 0, (counts[k] + prior * p[k - 1][back[k]]) / (h + prior), p[k - 1][back[k]]))
             has = counts[k] > 0
             keys.append(state[k - 1][b.prefix[k][has]] * b.v + b.last[k][has])
@@ -262,7 +276,7 @@ class Automaton:
         return out
 
 
-def _score(order: int, total: int, distinct: int, docs: int, prior: float, id_type: pa.DataType):
+def _score(order: int, total: int, distinct: int, docs: int, prior: float | Sequence[float], id_type: pa.DataType):
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -290,7 +304,7 @@ def _score(order: int, total: int, distinct: int, docs: int, prior: float, id_ty
     return run
 
 
-def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float | Sequence[float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score whole texts with a model of the documents whose crc32(id as text) mod 10 is not 0.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; an end follows each text and counts as a token.
@@ -300,9 +314,13 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     from nor held out.  Repeated rows count and score as often as they occur.
     Further columns are ignored; an empty table gives an empty result; with
     nothing to learn from, each token has probability 1 / 1.
+    `prior` is one number, or one for contexts of each length from 1 to `order` - 1;
+    by default PRIORS at the order they were chosen for, else PRIOR.
     Words count as equal if their 64-bit hashes are.  Memory is that of a block and of a bucket,
     both `block_bytes` of text on average whatever the corpus holds.
     """
+    if prior is None:
+        prior = PRIORS if order == ORDER else PRIOR
     part = crc32_mod("id", FOLDS)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(part != HELD_OUT, F.lit(False))).withColumn("held_out", F.coalesce(part == HELD_OUT, F.lit(False)))

@@ -68,6 +68,26 @@ def test_scores(edge, edge_rows, order, block):
         assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
 
 
+def test_registered_order_and_priors(spark):
+    """The registered model uses contexts of three words, each length with its own prior."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 30)))) for i in range(60)]
+    toks = {i: ["start", *t.split(), None] for i, t in docs}
+    c = Counter(tuple(s[k - n : k + 1]) for i, s in toks.items() if crc(i) % 10 for k in range(1, len(s)) for n in range(4) if k >= n)
+    total, distinct = sum(v for g, v in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    c[("start",)] = sum(crc(i) % 10 != 0 for i in toks)
+
+    def p(w, g):
+        if not g:
+            return (c[(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        prior = (8000.0, 500.0, 0.5)[len(g) - 1]
+        return (c[(*g, w)] + prior * p(w, g[1:])) / (c[g] + prior)
+
+    for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=400).collect():
+        s = toks[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(s[k], tuple(s[max(0, k - 3) : k]))) for k in range(1, len(s))), rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     texts = ["a b a c", "b a", "a a b"]
     b = lm_score.Block(texts, 3)
