@@ -22,30 +22,36 @@ def _has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def window_hashes(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW) -> DataFrame:
-    """id, pos, h1, h2 of each window that has a word in it."""
+def window_hashes(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW, short: bool = False) -> DataFrame:
+    """id, pos, h1, h2 of each window that has a word in it.
+
+    With `short`, a text of n < `width` lines has one window of them all, padded with nulls, at pos -n.
+    """
     lines = F.col("lines")
-    at = F.sequence(F.lit(0), F.size(lines) - width)
+    at = F.sequence(F.lit(0), F.greatest(F.size(lines) - width, F.lit(0)) if short else F.size(lines) - width)
+    pos = (lambda i: F.when(F.size(lines) < width, -F.size(lines)).otherwise(i)) if short else lambda i: i
     key = lambda i: [F.get(lines, i + k) for k in range(width)]
-    wins = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*key(i)).alias("h1"), F.xxhash64(F.lit("second"), *key(i)).alias("h2"), F.greatest(*(_has_word(x) for x in key(i))).alias("word")))
-    return df.select(F.col(id_col).alias("id"), _lines(text_col).alias("lines")).where(F.size("lines") >= width).select("id", F.explode(wins).alias("w")).select("id", "w.*").where("word").drop("word")
+    wins = F.transform(at, lambda i: F.struct(pos(i).alias("pos"), F.xxhash64(*key(i)).alias("h1"), F.xxhash64(F.lit("second"), *key(i)).alias("h2"), F.greatest(*(_has_word(x) for x in key(i))).alias("word")))
+    return df.select(F.col(id_col).alias("id"), _lines(text_col).alias("lines")).where(F.size("lines") >= (1 if short else width)).select("id", F.explode(wins).alias("w")).select("id", "w.*").where("word").drop("word")
 
 
-def covered_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+def covered_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, short: bool = False) -> DataFrame:
     """id and covered, the sorted positions of the lines to remove; a row per document that has some."""
-    hashes = window_hashes(df, id_col, text_col, width)
+    hashes = window_hashes(df, id_col, text_col, width, short)
     first = hashes.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = hashes.join(first, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
     starts = later.groupBy("id").agg(F.collect_set("pos").alias("starts"))
-    return starts.select("id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + width - 1))))).alias("covered"))
+    span = (lambda p: F.sequence(F.greatest(p, F.lit(0)), F.when(p < 0, -p - 1).otherwise(p + width - 1))) if short else lambda p: F.sequence(p, p + width - 1)
+    return starts.select("id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", span)))).alias("covered"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, short: bool = False) -> DataFrame:
     """All rows and columns, the text without the lines of repeated windows.
 
     Adds n_lines, n_removed and removed (the positions, from 0, in order) under names that
     may get underscores if `df` has them.  Lines are what newlines separate, compared
-    exactly.  A text of fewer than `width` lines has no window and stays;
+    exactly.  A text of fewer than `width` lines has no window and stays, unless
+    `short` gives it one window of all its lines, so that later copies of the whole text go;
     nor does a window without a word count.  Null texts have no window and stay null.  Rows that share an id are
     one document to the order: where they repeat a window at the same
     position, both keep it; removed positions hold for each of them.
@@ -53,7 +59,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     An empty table gives an empty result.
     """
     n_lines, n_removed, removed, key, covered, all_lines = fresh(df, "n_lines", "n_removed", "removed", "key", "covered", "all_lines")
-    found = materialise(covered_lines(df, id_col, text_col, width).toDF(key, covered), "covered")
+    found = materialise(covered_lines(df, id_col, text_col, width, short).toDF(key, covered), "covered")
     # only documents that may lose lines are moved to meet their positions
     some, rest = split_by(df, bitmap(found, F.col(key)), F.col(id_col))
     out = some.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)

@@ -90,6 +90,15 @@ def test_line_dedup(spark, edge, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_short_texts(spark):
+    """With `short`, later copies of a whole text of one or two lines go; parts of longer texts and texts without a word don't."""
+    docs = [(1, "a b"), (2, "a b"), (3, "a b\nc"), (4, "a b\nc"), (5, "a b\nc\nd"), (6, "a b\n"), (7, " "), (8, " "), (9, ""), (10, None), (11, "a b\nc\nd"), (12, "\na b"), (2, "e\nf\ng\nh"), (None, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines): (r.text, r.removed) for r in line_dedup.dedup_lines(df, short=True).collect()}
+    gone = {(2, 1): ("", [0]), (4, 2): ("", [0, 1]), (11, 3): ("", [0, 1, 2]), (2, 4): ("f\ng\nh", [0]), (None, 1): ("", [0])}
+    assert got == {(i, 0 if t is None else t.count("\n") + 1): (t, []) for i, t in docs} | gone
+
+
 def shingle_sets(texts):
     out = []
     for x in texts:
