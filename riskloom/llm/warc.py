@@ -23,7 +23,8 @@ from .common import fresh, new_path, slices
 
 BUNDLE_BYTES = 4 << 20
 FEED = 1 << 14
-MOST_HEADER = 1 << 16
+# The end of a header is searched for in so many bytes, then, if these begin with a version line, in all that follow.
+FIRST_TRY, VERSION_LINE = 1 << 16, 64
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION, CRLF, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n", b"\r\n\r\n"
@@ -69,7 +70,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record that begins at `at` and where it ends; Damaged if a check fails."""
     if not data.startswith(VERSION, at):
         raise Damaged("no version line")
-    stop = data.find(END, at, at + MOST_HEADER)
+    stop = data.find(END, at, at + FIRST_TRY)
+    if stop < 0 and data.find(CRLF, at, at + VERSION_LINE) >= 0:  # a url may be of any length, a version line not
+        stop = data.find(END, at + FIRST_TRY - len(END) + 1)
     if stop < 0:
         raise Damaged("no end of header")
     fields: dict[str, str] = {}

@@ -89,6 +89,17 @@ def test_pages_round_trip(spark):
     assert warc.archive_pages(empty).count() == 0
 
 
+def test_headers_of_any_length(spark):
+    fixed = len(warc.record(1, "", b"p").partition(b"\r\n\r\n")[0])
+    for n in (100_000, *range(65_530 - fixed, 65_542 - fixed)):
+        data = warc.record(1, "u" * n, b"p") + warc.record(2, None, b"q")
+        assert [(r[2]["page_id"], r[2]["uri"]) for r in read(data)[0]] == [("1", "u" * n), ("2", None)] and not read(data)[1]
+    pages = [(1, "data:," + "x" * 100_000, "one"), (2, " " * 30_000, "two"), (3, "http://a", "one")]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, len(r.uri)) for r in got) == [("1", "revisit", 100_006), ("2", "response", 90_000), ("3", "response", 8)]
+    read(b"WARC/1." * 50_000 + b"\r\n\r\n")  # no quadratic search
+
+
 def test_payloads_and_damaged_files_through_spark(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", f"page {i} " * 50, None) for i in range(50)], "page_id long, url string, html string, refers_to long").repartition(1)
     warc.write_archive(df, f"file://{tmp_path}/a", "page_id", "url", "html", "refers_to", bundle=2000)
