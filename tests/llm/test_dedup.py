@@ -99,6 +99,17 @@ def test_line_dedup_short_texts(spark):
     assert got == {(i, 0 if t is None else t.count("\n") + 1): (t, []) for i, t in docs} | gone
 
 
+@pytest.mark.parametrize("size", [30, 1000])
+def test_unrelated_texts_match_by_chance_as_modelled(spark, size):
+    """Texts of any length with no shingle in common agree in 1 of 256 short values, equal ones in all."""
+    docs = [(i, " ".join(f"w{i}-{k}" for k in range(size))) for i in range(40)]
+    rows = jaccard_join._signatures(spark.createDataFrame([*docs, (40, docs[0][1])], "id long, text string"), "id", "text", 5).collect()
+    sig = {r.id: np.frombuffer(r.sig, np.uint8) for r in rows}
+    assert (sig[0] == sig[40]).all()
+    same = [(sig[i] == sig[j]).mean() for i in range(40) for j in range(i)]
+    assert 0.5 / 256 < np.mean(same) < 2 / 256
+
+
 def shingle_sets(texts):
     out = []
     for x in texts:
