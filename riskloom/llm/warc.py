@@ -121,12 +121,49 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(z.unused_data)
 
 
+def rescue(data: memoryview, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """What the failed member at `at` gives before it fails, or its first `most` bytes, and where what gives them ends."""
+    z, out, size, pos, step = zlib.decompressobj(31), [], 0, at, FEED
+    while pos < len(data) and not z.eof and (most is None or size < most):
+        before = z.copy() if step > 1 else None
+        try:
+            got = z.decompress(data[pos : pos + step])
+        except zlib.error:
+            got = None
+        if step > 1 and (got is None or (most is not None and size + len(got) >= most)):
+            z, step = before, 1  # the last part byte by byte
+            continue
+        if got is None:
+            break
+        out.append(got)
+        size, pos = size + len(got), pos + step
+    return b"".join(out), min(pos, len(data))
+
+
+def _records(inner: bytes) -> tuple[list[dict], int, str | None]:
+    """The good records in a member's bytes, where the last one ends, and the first fault."""
+    found, last, fault, pos = [], 0, None, 0
+    while pos < len(inner):
+        try:
+            rec, pos = parse(inner, pos)
+            found.append(rec)
+            last = pos
+        except Damaged as e:  # in the member, the next version line may be good
+            fault, pos = fault or str(e), inner.find(VERSION, pos + 1)
+            if pos < 0:
+                break
+    return found, last, fault
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(offset, length, record, None) of each good record and (offset, length, None, reason) of each gap.
 
     The records of one member share its offset and length.  Zeros and line
     ends between members are padding.  A member that holds a damaged record
-    gives the records before it and is a gap as well.
+    gives its other records and is a gap as well.  So does a member that fails, as far
+    as it can be decompressed; its records' length goes to the end of the last one, and the
+    rest is a gap of its own.  No digest covers such a record's header, as in a plain archive:
+    a gap at a record's offset says so.
     """
     view, at, gap, why = memoryview(data), 0, -1, None
     while at < len(data):
@@ -137,23 +174,28 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         try:
             if data.startswith(MAGIC, at):
                 inner, end = inflate(view, at)
-                pos = 0
-                while pos < len(inner):
-                    try:
-                        rec, pos = parse(inner, pos)
-                        found.append(rec)
-                    except Damaged as e:  # the member is whole; in it, the next version line may be good
-                        fault, pos = fault or str(e), inner.find(VERSION, pos + 1)
-                        if pos < 0:
-                            break
+                found, _, fault = _records(inner)
             else:
                 rec, end = parse(data, at)
                 found.append(rec)
         except Damaged as e:
-            if gap < 0:
+            start = at + 1
+            if data.startswith(MAGIC, at):
+                found, last, _ = _records(rescue(view, at)[0])
+            if found:  # what gave these records is done with; the rest of the member is a gap too
+                start = rescue(view, at, last)[1]
+                if gap >= 0:
+                    yield gap, at - gap, None, why
+                yield at, start - at, None, str(e)
+                for rec in found:
+                    yield at, start - at, rec, None
+                gap, why = start, str(e)
+            elif gap < 0:
                 gap, why = at, str(e)
-            nxt = _NEXT.search(data, at + 1)
+            nxt = _NEXT.search(data, start)
             at = nxt.start() if nxt else len(data)
+            if at == gap:
+                gap = -1
             continue
         if gap >= 0:
             yield gap, at - gap, None, why

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 from hypothesis import given, settings, strategies as st
 from riskloom.llm import warc
@@ -89,6 +90,24 @@ def test_pages_round_trip(spark):
     assert warc.archive_pages(empty).count() == 0
 
 
+def test_a_failed_member_gives_its_records_before_the_damage():
+    rng = random.Random(4)
+    recs = [(i, warc.record(i, "u", rng.randbytes(3000))) for i in range(40)]
+    whole, after = warc.member(b"".join(r for _, r in recs)), warc.member(warc.record(99, None, b"z"))
+    flipped = bytearray(whole)
+    flipped[-5] ^= 1  # the checksum: all records are good
+    late = bytearray(whole)
+    late[len(whole) * 3 // 4] ^= 0x55
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    plain = bytearray(stored.compress(b"".join(r for _, r in recs)) + stored.flush())
+    plain[-5] ^= 1
+    for data, least in ((flipped, 40), (late, 28), (whole[: len(whole) * 3 // 4], 28), (whole[:-8], 40), (plain, 40)):
+        records, gaps = read(bytes(data) + after)
+        ids = [int(r[2]["page_id"]) for r in records]
+        assert ids[:least] == list(range(least)) and ids[-1] == 99 and len(set(ids)) == len(ids)
+        assert gaps[0][0] == 0 and all(g[1] > 0 and g[0] + g[1] <= len(data) for g in gaps)
+
+
 def test_headers_of_any_length(spark):
     fixed = len(warc.record(1, "", b"p").partition(b"\r\n\r\n")[0])
     for n in (100_000, *range(65_530 - fixed, 65_542 - fixed)):
