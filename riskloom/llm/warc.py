@@ -19,10 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import fresh, new_path, slices
+from .common import fresh, new_path, slices, sole
 
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 16 << 20
 FEED = 1 << 14
+# A member that inflates to more is taken as damaged: its records up to there are returned, the rest is a gap.
+MOST_INFLATED = 1 << 30
 # The end of a header is searched for in so many bytes, then, if these begin with a version line, in all that follow.
 FIRST_TRY, VERSION_LINE = 1 << 16, 64
 DATE = "2000-01-01T00:00:00Z"
@@ -108,14 +110,16 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     """The gzip member that begins at `at`, and where it ends."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     try:
         while not z.eof:
             if pos >= len(data):
                 raise Damaged("member cut short")
             part = data[pos : pos + FEED]
             out.append(z.decompress(part))
-            pos += len(part)
+            pos, size = pos + len(part), size + len(out[-1])
+            if size > MOST_INFLATED:
+                raise Damaged(f"member inflates to more than {MOST_INFLATED} bytes")
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     return b"".join(out), pos - len(z.unused_data)
@@ -124,7 +128,7 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 def rescue(data: memoryview, at: int, most: int | None = None) -> tuple[bytes, int]:
     """What the failed member at `at` gives before it fails, or its first `most` bytes, and where what gives them ends."""
     z, out, size, pos, step = zlib.decompressobj(31), [], 0, at, FEED
-    while pos < len(data) and not z.eof and (most is None or size < most):
+    while pos < len(data) and not z.eof and (size < most if most is not None else size <= MOST_INFLATED):
         before = z.copy() if step > 1 else None
         try:
             got = z.decompress(data[pos : pos + step])
@@ -140,27 +144,33 @@ def rescue(data: memoryview, at: int, most: int | None = None) -> tuple[bytes, i
     return b"".join(out), min(pos, len(data))
 
 
-def _records(inner: bytes) -> tuple[list[dict], int, str | None]:
-    """The good records in a member's bytes, where the last one ends, and the first fault."""
-    found, last, fault, pos = [], 0, None, 0
+def _records(inner: bytes) -> tuple[list[dict], int, list[str]]:
+    """The good records in a member's bytes, where the last one ends, and what is wrong with which of its bytes."""
+    found, last, faults, pos = [], 0, [], 0
     while pos < len(inner):
         try:
             rec, pos = parse(inner, pos)
             found.append(rec)
             last = pos
-        except Damaged as e:  # in the member, the next version line may be good
-            fault, pos = fault or str(e), inner.find(VERSION, pos + 1)
-            if pos < 0:
-                break
-    return found, last, fault
+        except Damaged as e:  # in the member, the next version line that passes the checks goes on
+            first, why = pos, str(e)
+            while (pos := inner.find(VERSION, pos + 1)) >= 0:
+                try:
+                    parse(inner, pos)
+                    break
+                except Damaged:
+                    pass
+            pos = pos if pos >= 0 else len(inner)
+            faults.append(f"{why}: {pos - first} bytes from {first} on in the member")
+    return found, last, faults
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(offset, length, record, None) of each good record and (offset, length, None, reason) of each gap.
 
     The records of one member share its offset and length.  Zeros and line
-    ends between members are padding.  A member that holds a damaged record
-    gives its other records and is a gap as well.  So does a member that fails, as far
+    ends between members are padding.  A member that holds damaged records
+    gives its other records and a gap each for the damaged ones, whose reason says which of its bytes it is.  So does a member that fails, as far
     as it can be decompressed; its records' length goes to the end of the last one, and the
     rest is a gap of its own.  No digest covers such a record's header, as in a plain archive:
     a gap at a record's offset says so.
@@ -170,11 +180,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         if data[at] in b"\x00\r\n" and gap < 0:
             at += 1
             continue
-        found, fault = [], None
+        found, faults = [], []
         try:
             if data.startswith(MAGIC, at):
                 inner, end = inflate(view, at)
-                found, _, fault = _records(inner)
+                found, _, faults = _records(inner)
             else:
                 rec, end = parse(data, at)
                 found.append(rec)
@@ -200,7 +210,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         if gap >= 0:
             yield gap, at - gap, None, why
             gap = -1
-        if fault:
+        for fault in faults:
             yield at, end - at, None, fault
         for rec in found:
             yield at, end - at, rec, None
@@ -217,6 +227,7 @@ def write_archive(df: DataFrame, path: str, id_col: str, uri_col: str, payload_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         held: list[bytes] = []
         size = 0
 
@@ -283,8 +294,9 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 
     Returns the rows of `read_archive` without payloads.  Null payloads
     are empty, and empty payloads are equal; a null id is written as an empty
-    one; repeated rows are written as often as they occur; further columns
-    are ignored; an empty table gives an archive without records.
+    one; repeated rows are written as often as they occur; further columns, whatever their names,
+    are ignored; urls and payloads of any length are whole (a record of more than MOST_INFLATED bytes is read as a gap);
+    an empty table gives an archive without records.
     """
     spark = df.sparkSession
     path = path or new_path(spark, "warc")
