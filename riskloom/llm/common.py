@@ -4,55 +4,38 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.plans.storage import discard, materialise, new_path, shared_dir
+
 # Text bytes and rows that are worked on at once inside a Python worker.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 _LIBC = ctypes.CDLL(None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    On a cluster it is the one named in ``spark.checkpoint.dir``.  Only where
-    that is unset, as in tests on one machine, a temporary folder is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_riskloom_dir", None)
-    if not path:
-        path = spark._riskloom_dir = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    It cuts the lineage: later jobs survive the loss of any executor without
-    running what came before again.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> SparkSession:
     """Have this session's queries hand whole texts to Python 2,000 rows at a time: an Arrow batch exists some four times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
+# How each operator empties the caches that its Python workers keep from task to task.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole(name: str | None = None) -> None:
+    """Empty other operators' caches: a Python worker serves one operator after the other."""
+    emptied = [clear for other, clear in CACHES.items() if other != name]
+    for clear in emptied:
+        clear()
+    if emptied:
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers are used again, by other operators too."""
     gc.collect()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import bitmap, fresh, materialise, slices, split_by, texts
+from .common import bitmap, fresh, materialise, slices, sole, split_by, texts
 
 BLANKS = b" \t\n\r\x0b\x0c"
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
@@ -81,6 +81,7 @@ def _recipes(df: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("recipe", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches, text_col):
             data = [normalised(x) for x in texts(part, text_col)]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import bitmap, fresh, materialise, slices, split_by, texts
+from .common import CACHES, bitmap, fresh, materialise, slices, sole, split_by, texts
 
 WORDS, THRESHOLD = 5, 0.8
 # A pair at the threshold shares no band with probability (1 - 0.8**4)**24, about 3e-6.
@@ -51,6 +51,7 @@ class _Hashes(dict):
 
 
 _WORDS = _Hashes()
+CACHES["jaccard_join"] = _WORDS.clear
 
 
 def shingles(data: list[str], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +235,7 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("row", "t1", "t2", "f1", "f2", "n")), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("jaccard_join")
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches, text_col):
             data = texts(part, text_col)

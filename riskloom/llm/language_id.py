@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc32_mod, fresh, release, slices, texts
+from .common import crc32_mod, fresh, release, slices, sole, texts
 from .hashed import LETTERS_ONLY, byte_ngrams, fit_logistic, frequencies, linear, rows_of
 
 BITS = 12
@@ -82,11 +82,13 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     picked = picked.groupBy("l", "i", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for part in slices(batches, "t", *SLICE):
             x = features(texts(part, "t")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("l"), part.column("key"), part.column("i"), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "key", "i", "x"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         got = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: r[:4])
         kept, seen = [], dict.fromkeys(counts, 0)
         for r in got:
@@ -120,6 +122,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str, names: tuple[str,
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for part in slices(batches, text_col, *SLICE):
             data = texts(part, text_col)
             known = [model is not None and _LETTER.search(x) is not None for x in data]

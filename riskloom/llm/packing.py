@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from .common import slices, texts
+from .common import CACHES, slices, sole, texts
 
 BLOCK_SEQUENCES = 512
 CACHED_WORDS = 300_000
@@ -80,6 +80,7 @@ class WordEncoder(dict):
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+CACHES["packing"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> WordEncoder:
@@ -157,6 +158,7 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, size: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("packing")
         known, base = encoder(tokenizer_file), TaskContext.get().partitionId() << 33
         sequences = rows = held = 0
         block: list[tuple] = []  # (id, doc_row, first token here, ids from there on, doc_tokens)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import release, slices, texts
+from .common import release, slices, sole, texts
 from .hashed import byte_ngrams, fit_logistic, frequencies, linear, rows_of
 
 BITS = 12
@@ -172,6 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     rows = rows.groupBy("i", "y", "key").agg(F.min("t").alias("t"))  # an id counts once, however often it is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for part in slices(batches, "t", *SLICE):
             data = texts(part, "t")
             _, ids, doc, hashes = tokenised(data)
@@ -179,6 +180,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
             yield pa.RecordBatch.from_arrays([part.column("y"), part.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "key", "x"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         got = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: (r[1], r[0], r[2]))
         kept, seen = [], {0: 0, 1: 0}
         for r in got:
@@ -219,6 +221,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for part in slices(batches, text_col, *SLICE):
             data = texts(part, text_col)
             words, ids, doc, hashes = tokenised(data)

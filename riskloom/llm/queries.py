@@ -13,14 +13,17 @@ from .common import small_batches
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, python: bool = True) -> DataFrame:
+    """A whole table; where its texts go to Python, some at a time."""
+    return (small_batches(spark) if python else spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=0)
     number = lambda c: F.expr(f"try_cast({c} AS BIGINT)").alias(c)
-    return read.where("record_type IS NOT NULL").select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+    gap = F.raise_error(F.concat(F.lit("the archive has a gap: "), "reason")).cast("boolean")  # each page is to come back
+    read = read.where(F.when(F.col("record_type").isNull(), gap).otherwise(True))
+    return read.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents", python=False))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents", python=False))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
-from .common import slices, texts
+from .common import CACHES, slices, sole, texts
 
 BLANK = "▁"
 CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 600_000, 1_000_000, 48
@@ -172,6 +172,7 @@ class PrefixCounter(dict):
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
+CACHES["token_counts"] = _COUNTERS.clear
 
 
 def counter(model_file: str) -> PrefixCounter:
@@ -204,6 +205,7 @@ def token_counts(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("token_counts")
         known = counter(model_file)
         for part in slices(batches, text_col):
             n_tokens, chars, tables = [], [], []
