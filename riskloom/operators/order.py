@@ -24,8 +24,14 @@ def joint_order(obs: DataFrame) -> DataFrame:
     return split_in_order(flat, ["stratum"], ORDER, "joint")
 
 
+def lexsort(obs: DataFrame) -> DataFrame:
+    """stratum, position, row_id, is_start: the joint order as positions from 0 in each stratum."""
+    counted = running_sums(joint_order(obs), ["stratum"], [F.col(c) for c in ORDER], {"n": F.lit(1).cast("long")})
+    return counted.select("stratum", (F.col("n") - 1).alias("position"), "row_id", "is_start")
+
+
 def risk_index(obs: DataFrame) -> DataFrame:
-    """Per row: event_order and start_order positions, first, last, scaling, event_map and start_map, all from 0.
+    """Per row (ids are unique): event_order and start_order positions, first, last, scaling, event_map and start_map, all from 0.
 
     event_map is the number of start points before the row's event point in the
     joint order, start_map the number of event points before its start point;
@@ -102,16 +108,20 @@ def _in_risk_time(obs: DataFrame) -> DataFrame:
 
 
 def sum_over_risk_set(obs: DataFrame, index: DataFrame, value: Column, efron: bool = True) -> DataFrame:
-    """stratum, row_id, value at each counted failure: the sum of `value` over its risk set, less scaling times the sum over its cluster."""
-    rows = _in_risk_time(obs).withColumn("_v", value.cast("double"))
-    at = lambda t, x: F.struct(F.col(t).alias("t"), F.col("_v").alias("ev") if x else F.lit(0.0).alias("ev"), F.lit(0.0).alias("st") if x else F.col("_v").alias("st"), (F.when(F.col("hit"), F.col("_v")).otherwise(0.0) if x else F.lit(0.0)).alias("d"))
-    flat = rows.select("stratum", F.explode(F.array(at("event", True), at("start", False))).alias("p")).select("stratum", "p.*").where(F.col("t") > F.lit(float("-inf")))
-    line = split_in_order(flat.groupBy("stratum", "t").agg(F.sum("ev").alias("ev"), F.sum("st").alias("st"), F.sum("d").alias("d")), ["stratum"], ["t"])
-    risk = running_sums(line, ["stratum"], [F.col("t")], {"sev": F.col("ev"), "sst": F.col("st")}, reverse=True)
-    risk = risk.select(F.col("stratum").alias("_s"), F.col("t").alias("_t"), (F.col("sev") - F.col("sst")).alias("_r"), F.col("d").alias("_d"))
-    ours = index.select(F.col("row_id").alias("_i"), "scaling")
-    out = rows.where("hit").join(ours, F.col("row_id") == F.col("_i")).join(risk, (F.col("stratum") == F.col("_s")) & (F.col("event") == F.col("_t")))
-    return out.select("stratum", "row_id", (F.col("_r") - (F.col("scaling") * F.col("_d") if efron else F.lit(0.0))).alias("value"))
+    """stratum, row_id, value at each row: the sum of `value` over its risk set, less scaling times the sum over its cluster.
+
+    At a counted failure that is all rows at risk at its time.  At any other row it is those from its own
+    position in the event order on, less those whose start point comes after its event point in the joint order.
+    """
+    sums = materialise(reverse_cumsums(obs, index, value), "reverse")
+    at = lambda n, *cols: sums.select(F.col("stratum").alias(f"_s{n}"), F.col("position").alias(f"_p{n}"), *(F.col(c).alias(f"_{c}{n}") for c in cols))
+    on = lambda n, p: (F.col("stratum") == F.col(f"_s{n}")) & (p == F.col(f"_p{n}"))
+    out = index.join(at(1, "by_event"), on(1, F.col("first"))).join(at(2, "by_start"), on(2, F.col("event_map")))
+    total = F.col("_by_event1") - F.col("_by_start2")
+    if efron:
+        out = out.join(at(3, "by_event"), on(3, F.col("last") + 1))
+        total = total - F.col("scaling") * (F.col("_by_event1") - F.col("_by_event3"))
+    return out.select("stratum", "row_id", total.alias("value"))
 
 
 def sum_over_events(obs: DataFrame, index: DataFrame, value: Column, efron: bool = True) -> DataFrame:
@@ -129,4 +139,4 @@ def sum_over_events(obs: DataFrame, index: DataFrame, value: Column, efron: bool
     return out.select("stratum", "row_id", (F.col("_c") - F.coalesce("_c2", F.lit(0.0)) - own).alias("value"))
 
 
-__all__ = ["PART", "forward_cumsum", "forward_prework", "in_event_order", "in_native_order", "joint_order", "preprocess", "reverse_cumsums", "risk_index", "sum_over_events", "sum_over_risk_set"]
+__all__ = ["PART", "forward_cumsum", "forward_prework", "in_event_order", "in_native_order", "joint_order", "lexsort", "preprocess", "reverse_cumsums", "risk_index", "sum_over_events", "sum_over_risk_set"]

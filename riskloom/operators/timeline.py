@@ -19,13 +19,18 @@ from riskloom.plans.storage import materialise
 
 CLIP = 30.0
 KEY = ["stratum", "t"]
-# Members of one tie are listed in runs of this many.
-RUN = 8192
+NOT_POSITIVE = " failure times have no positive risk sum"
+# A tie of up to INLINE members is summed up in its row; the members of a larger one are listed in runs of RUN that go to many tasks.
+INLINE, RUN = 1024, 8192
+MOMENTS = ["a1", "a2", "b1", "b2", "c2", "b2x", "penalty", "saturated"]
 
 
-def scored(obs: DataFrame) -> DataFrame:
-    """Add eta_c (eta less its stratum's plain mean), e (weight * exp(eta_c), the exponent at most CLIP) and hit (a failure that counts)."""
-    means = obs.groupBy("stratum").agg(F.avg("eta").alias("_mean")).withColumnRenamed("stratum", "_s")
+def scored(obs: DataFrame, means: DataFrame) -> DataFrame:
+    """Add eta_c (eta less its stratum's plain mean), e (weight * exp(eta_c), the exponent at most CLIP) and hit (a failure that counts).
+
+    `means` has the columns stratum and mean.
+    """
+    means = means.select(F.col("stratum").alias("_s"), F.col("mean").alias("_mean"))
     out = obs.join(means, F.col("stratum") == F.col("_s")).withColumn("eta_c", F.col("eta") - F.col("_mean")).drop("_mean", "_s")
     return out.withColumn("e", F.col("weight") * F.exp(F.least("eta_c", F.lit(CLIP)))).withColumn("hit", (F.col("status") == 1) & (F.col("weight") > 0))
 
@@ -67,30 +72,55 @@ def at_risk(line: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     return out.select(*line.columns, *((F.col(f"sev{n}") - F.col(f"sst{n}")).alias(f"r{n}") for n in all_names))
 
 
-def moments(risk: DataFrame, efron: bool) -> DataFrame:
+def largest_tie(line: DataFrame) -> int:
+    """The most failures at one time of a written timeline."""
+    return line.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+
+
+def _of_member(s: Column, w: Column, r: Column, d: Column, k: Column) -> list[Column]:
+    """What one member of a tie adds to each of MOMENTS."""
+    mean, rm = w / k, r - s * d
+    return [mean / rm, mean / (rm * rm), mean * s / rm, mean * s / (rm * rm), mean * s * s / (rm * rm), mean * s * s / rm, mean * F.log(rm), mean * F.log(1 - s)]
+
+
+def _of_tie(w: Column, r: Column, d: Column, k: Column) -> Column:
+    """The sums over a tie's members, as a struct, without a row per member."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    single = F.struct(*(x.alias(n) for n, x in zip(MOMENTS, _of_member(zero, w, r, d, one))))
+    start = F.struct(*(zero.alias(n) for n in MOMENTS))
+
+    def step(acc: Column, m: Column) -> Column:
+        return F.struct(*((acc[n] + x).alias(n) for n, x in zip(MOMENTS, _of_member(m.cast("double") / k, w, r, d, k))))
+
+    some = F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(k.cast("long"), F.lit(1).cast("long")) - 1), start, step)
+    return F.when(k == 1, single).when(k > 1, some).otherwise(start)
+
+
+def moments(risk: DataFrame, efron: bool, largest: int) -> DataFrame:
     """Add, per failure time, sums over m with w' = W / K:
 
     a1, a2: w' / R_m, w' / R_m^2; b1, b2: the same with s; c2: w' s^2 / R_m^2; b2x: w' s^2 / R_m;
     penalty: w' ln R_m; saturated: W ln W + w' ln(1 - s).  All are 0 at other times.
+    `largest` is the most failures at one time (see `largest_tie`).
     """
-    names = ["a1", "a2", "b1", "b2", "c2", "b2x", "penalty", "saturated"]
+    w, r, d, k, zero = F.col("w"), F.col("r"), F.col("d"), F.col("k"), F.lit(0.0)
     if not efron:
-        w, r, zero = F.col("w"), F.col("r"), F.lit(0.0)
         values = [w / r, w / (r * r), zero, zero, zero, zero, w * F.log(r), w * F.log(w)]
-        return risk.select("*", *(F.when(F.col("k") > 0, v).otherwise(zero).alias(n) for n, v in zip(names, values)))
-    some = F.col("k") > 0
-    top = F.greatest(F.col("k").cast("long"), F.lit(1).cast("long")) - 1  # a time without failures has one idle member
-    runs = risk.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), top, F.lit(RUN).cast("long"))))
-    parts = int(risk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = runs.repartition(parts, "stratum", "t", "first")  # the runs of one large tie go to many tasks
-    members = runs.withColumn("m", F.explode(F.sequence("first", F.least(F.col("first") + (RUN - 1), top))))
-    s = F.col("m").cast("double") / F.col("k")
-    mean, rm = F.col("w") / F.col("k"), F.col("r") - s * F.col("d")
-    sums = [mean / rm, mean / (rm * rm), mean * s / rm, mean * s / (rm * rm), mean * s * s / (rm * rm), mean * s * s / rm, mean * F.log(rm), mean * F.log(1 - s)]
-    others = [c for c in risk.columns if c not in KEY]
-    got = members.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in others), *(F.sum(F.when(some, v).otherwise(0.0)).alias(n) for n, v in zip(names, sums)))
-    full = F.when(some, F.col("w") * F.log("w") + F.col("saturated")).otherwise(0.0)
-    return got.select(*risk.columns, *names[:-1], full.alias("saturated"))
+        return risk.select("*", *(F.when(k > 0, v).otherwise(zero).alias(n) for n, v in zip(MOMENTS, values)))
+    in_row = F.when(k <= INLINE, k).otherwise(0)
+    out = risk.withColumn("_m", _of_tie(w, r, d, in_row))
+    sums = {n: F.col("_m")[n] for n in MOMENTS}
+    if largest > INLINE:
+        top = k.cast("long") - 1
+        runs = risk.where(k > INLINE).select(*KEY, "w", "r", "d", "k", F.explode(F.sequence(F.lit(0).cast("long"), top, F.lit(RUN).cast("long"))).alias("first"))
+        parts = int(risk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        members = runs.repartition(parts, *KEY, "first").withColumn("m", F.explode(F.sequence("first", F.least(F.col("first") + (RUN - 1), top))))
+        added = _of_member(F.col("m").cast("double") / k, w, r, d, k)
+        large = members.groupBy(F.col("stratum").alias("_ls"), F.col("t").alias("_lt")).agg(*(F.sum(x).alias(f"_l_{n}") for n, x in zip(MOMENTS, added)))
+        out = out.join(large, (F.col("stratum") == F.col("_ls")) & (F.col("t") == F.col("_lt")), "left")
+        sums = {n: F.coalesce(f"_l_{n}", x) for n, x in sums.items()}
+    sums["saturated"] = F.when(k > 0, w * F.log(w) + sums["saturated"]).otherwise(zero)
+    return out.select(*risk.columns, *(x.alias(n) for n, x in sums.items()))
 
 
 def scalars(rows: DataFrame, terms: DataFrame, by_stratum: bool = False) -> DataFrame:
@@ -140,14 +170,26 @@ def per_row(rows: DataFrame, terms: DataFrame, starts: bool, vectors: Sequence[s
 def quadratic_form(terms: DataFrame, names: Sequence[str]) -> DataFrame:
     """i, j, value of X' I X, from the sums over risk sets of x_i and of x_i x_j (names p_i_j), i <= j."""
     r, d = (lambda n: F.col(f"r_{n}")), (lambda n: F.col(f"d_{n}"))
-    cells = []
+    values = {}
     for i, a in enumerate(names):
         for j in range(i, len(names)):
             b, pair = names[j], f"p_{i}_{j}"
             outer = r(a) * r(b) * F.col("a2") - (r(a) * d(b) + d(a) * r(b)) * F.col("b2") + d(a) * d(b) * F.col("c2")
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(r(pair) * F.col("a1") - d(pair) * F.col("b1") - outer).alias("value")))
-    total = terms.where("k > 0").agg(F.array(*cells).alias("cells"))
-    return total.select(F.explode("cells").alias("c")).select("c.*")
+            values[i, j] = r(pair) * F.col("a1") - d(pair) * F.col("b1") - outer
+    return _cells(terms.where("k > 0"), values, F.sum(F.when(F.col("r") > 0, 0).otherwise(1)))
+
+
+def quadratic_form_by_rows(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same from each row's features and the information times them (iv_name)."""
+    return _cells(rows, {(i, j): F.col(a) * F.col(f"iv_{names[j]}") for i, a in enumerate(names) for j in range(i, len(names))})
+
+
+def _cells(df: DataFrame, values: Mapping[tuple[int, int], Column], bad: Column | None = None) -> DataFrame:
+    """A row per cell with the sum of its values; an error where `bad` isn't 0."""
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.coalesce(F.sum(v), F.lit(0.0)).alias("value")) for (i, j), v in values.items()))
+    total = df.agg(cells.alias("cells"), F.coalesce(F.lit(0) if bad is None else bad, F.lit(0)).alias("bad"))
+    wrong = F.raise_error(F.concat("bad", F.lit(NOT_POSITIVE))).cast(total.schema["cells"].dataType)
+    return total.select(F.explode(F.when(F.col("bad") > 0, wrong).otherwise(F.col("cells"))).alias("c")).select("c.*")
 
 
-__all__ = ["KEY", "PART", "at_risk", "moments", "per_row", "quadratic_form", "scalars", "scored", "time_sums", "timeline"]
+__all__ = ["KEY", "NOT_POSITIVE", "PART", "at_risk", "largest_tie", "moments", "per_row", "quadratic_form", "quadratic_form_by_rows", "scalars", "scored", "time_sums", "timeline"]

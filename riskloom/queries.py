@@ -138,6 +138,9 @@ idx AS (SELECT b.stratum, b.row_id, b.event_order, CAST(a.st - 1 AS BIGINT) AS s
   FROM b JOIN (SELECT * FROM ord WHERE is_start = 1) a USING (row_id))"""
 
 
+INDEX_COLUMNS = f"SELECT stratum, row_id, event_order, start_order, first, last, {_r('scaling', 'scaling')}, event_map, start_map FROM idx"
+
+
 # ---- queries
 
 
@@ -177,8 +180,9 @@ def _registry() -> dict[str, tuple[Query, str]]:
         cox = lambda spark, d, **o: _cox(spark, d, ties, start, strata, **o)
         out[f"cox_scalars_{name}"] = (lambda spark, d: _rounded(cox(spark, d)(F.expr(ETA), w()).scalars()), scalars_sql(obs, efron))
         out[f"cox_rows_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).rows(*map(F.expr, VECTORS))), rows_sql(obs, efron, start))
-        if weight == "zeros":
-            out[f"cox_info_quadform_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).quadratic_form([F.expr(x) for x in FEATURES])), quadform_sql(obs, efron))
+        out[f"cox_info_quadform_{name}"] = (lambda spark, d: _rounded(cox(spark, d).information(F.expr(ETA), w()).quadratic_form([F.expr(x) for x in FEATURES])), quadform_sql(obs, efron))
+        index = lambda spark, d: cox(spark, d).risk_index(w())
+        out[f"risk_index_{name}"] = (lambda spark, d: _rounded(index(spark, d)), f"WITH {obs.strip()},{INDEX_SQL} {INDEX_COLUMNS}")
         if weight == "zeros" and efron:
             out[f"cox_diag_hessian_reference_{name}"] = (
                 lambda spark, d: _rounded(cox(spark, d, compat="reference")(F.expr(ETA), w()).rows().select("row_id", "diag_hessian")),
@@ -227,28 +231,16 @@ c AS (SELECT {key} AS row_id, any_value(o.n) AS n, any_value(o.weight * o.status
 SELECT row_id, {_r("-2 * (wd - e * t1)", "gradient")}, {_r("2 * (e * t1 - e * e * t2)", "diag_hessian")}, CAST(n AS BIGINT) AS n FROM c"""
         out[f"cox_lifetime_rows_{ties}"] = lifetime_rows(ties), sql
 
-    def indexed(strata: bool) -> Callable[[SparkSession, str], tuple[CoxLikelihood, Column]]:
-        return lambda spark, d: (_cox(spark, d, "efron", True, strata), F.expr(WEIGHTS["zeros"]))
-
-    def index(strata: bool) -> Query:
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            cox, w = indexed(strata)(spark, d)
-            return _rounded(cox.risk_index(w))
-
-        return run
-
     def kernel(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         def run(spark: SparkSession, d: str) -> DataFrame:
-            cox, w = indexed(True)(spark, d)
+            cox, w = _cox(spark, d, "efron", True, True), F.expr(WEIGHTS["zeros"])
             obs = cox.observations(F.expr(ETA), w, {"v0": F.expr(VECTORS[0]), "v1": F.expr(VECTORS[1])})
             return _rounded(make(obs, cox.risk_index(w)))
 
         return run
 
-    whole = lambda strata: f"WITH {events_sql(True, strata, 'zeros').strip()},{INDEX_SQL}"
-    for strata in STRATA:
-        out["risk_index" + "_strata" * strata] = index(strata), f"{whole(strata)} SELECT stratum, row_id, event_order, start_order, first, last, {_r('scaling', 'scaling')}, event_map, start_map FROM idx"
-    n = f"{whole(True)}, oo AS (SELECT obs.*, idx.event_order, idx.start_order, idx.scaling, status = 1 AND weight > 0 AS hit FROM obs JOIN idx USING (row_id))"
+    whole = f"WITH {events_sql(True, True, 'zeros').strip()},{INDEX_SQL}"
+    n = f"{whole}, oo AS (SELECT obs.*, idx.event_order, idx.start_order, idx.scaling, status = 1 AND weight > 0 AS hit FROM obs JOIN idx USING (row_id))"
     out["forward_cumsum"] = (
         kernel(lambda obs, idx: order.forward_cumsum(order.in_event_order(obs, idx, "v1"), F.col("v1"))),
         f"{n} SELECT stratum, event_order + 1 AS position, {_r('sum(v1) OVER (PARTITION BY stratum ORDER BY event_order ROWS UNBOUNDED PRECEDING)', 'value')} FROM oo UNION ALL SELECT DISTINCT stratum, 0, 0.0::DOUBLE FROM oo",
@@ -263,21 +255,34 @@ SELECT stratum, position, {_r('x', 'by_event')}, {_r('y', 'by_start')} FROM a JO
         kernel(lambda obs, idx: order.in_native_order(order.in_event_order(obs, idx, "v0", "v1"), idx, "v0", "v1")),
         f"{n} SELECT stratum, row_id, {_r('v0', 'v0')}, {_r('v1', 'v1')} FROM oo",
     )
-    out["sum_over_risk_set"] = (
-        kernel(lambda obs, idx: order.sum_over_risk_set(obs, idx, F.col("v0"))),
-        f"""{n}, cl AS (SELECT stratum, event, sum(v0) AS d FROM oo WHERE hit GROUP BY stratum, event),
-rr AS (SELECT f.stratum, f.row_id, any_value(f.scaling) AS scaling, any_value(f.event) AS event, sum(o.v0) AS r FROM oo f JOIN oo o ON o.stratum = f.stratum AND o.start < f.event AND f.event <= o.event WHERE f.hit GROUP BY f.stratum, f.row_id)
-SELECT rr.stratum, row_id, {_r('r - scaling * d', 'value')} FROM rr JOIN cl USING (stratum, event)""",
-    )
+    for ties in TIES:
+        efron = ties == "efron"
+        out["sum_over_risk_set" + "_breslow" * (not efron)] = (
+            kernel(lambda obs, idx, efron=efron: order.sum_over_risk_set(obs, idx, F.col("v0"), efron)),
+            f"""{n}, a AS (SELECT stratum, event_order AS p, sum(v0) OVER (PARTITION BY stratum ORDER BY event_order DESC ROWS UNBOUNDED PRECEDING) AS x FROM oo),
+b2 AS (SELECT stratum, start_order AS p, sum(v0) OVER (PARTITION BY stratum ORDER BY start_order DESC ROWS UNBOUNDED PRECEDING) AS y FROM oo)
+SELECT idx.stratum, idx.row_id, {_r(f"a1.x - coalesce(b2.y, 0) - {'idx.scaling' if efron else '0'} * (a1.x - coalesce(a2.x, 0))", "value")} FROM idx
+JOIN a a1 ON a1.stratum = idx.stratum AND a1.p = idx.first LEFT JOIN b2 ON b2.stratum = idx.stratum AND b2.p = idx.event_map
+LEFT JOIN a a2 ON a2.stratum = idx.stratum AND a2.p = idx.last + 1""",
+        )
+        own = "CASE WHEN o.hit AND t = o.event THEN fs ELSE 0 END" if efron else "0"
+        out["sum_over_events" + "_breslow" * (not efron)] = (
+            kernel(lambda obs, idx, efron=efron: order.sum_over_events(obs, idx, F.col("v0"), efron)),
+            f"""{n}, ft AS (SELECT stratum, event AS t, sum(v0) AS f, sum(v0 * scaling) AS fs FROM oo WHERE hit GROUP BY stratum, event)
+SELECT o.stratum, o.row_id, {_r(f'coalesce(sum(f - {own}), 0)', 'value')} FROM oo o LEFT JOIN ft ON ft.stratum = o.stratum AND o.start < t AND t <= o.event GROUP BY o.stratum, o.row_id""",
+        )
     out["preprocess_strata"] = (
         lambda spark, d: _rounded(_cox(spark, d, "efron", True, True).preprocess(F.expr(WEIGHTS["zeros"])).withColumn("start", F.greatest("start", F.lit(-1.0)))),
-        f"""{whole(True)} SELECT obs.row_id, obs.stratum, {_r('greatest(obs.start, -1.0::DOUBLE)', 'start')}, {_r('obs.event', 'event')}, status, idx.event_order, idx.start_order, idx.first, idx.last, {_r('idx.scaling', 'scaling')}, idx.event_map, idx.start_map, o2.first AS first_start
+        f"""{whole} SELECT obs.row_id, obs.stratum, {_r('greatest(obs.start, -1.0::DOUBLE)', 'start')}, {_r('obs.event', 'event')}, status, idx.event_order, idx.start_order, idx.first, idx.last, {_r('idx.scaling', 'scaling')}, idx.event_map, idx.start_map, o2.first AS first_start
 FROM obs JOIN idx USING (row_id) LEFT JOIN idx o2 ON o2.stratum = obs.stratum AND o2.event_order = idx.start_map""",
     )
     out["lexsort_strata"] = (
-        kernel(lambda obs, idx: order.joint_order(obs).select("stratum", "row_id", "is_start", F.greatest("t", F.lit(-1.0)).alias("t"), "not_failure", "minus_weight")),
-        f"WITH {events_sql(True, True, 'zeros').strip()},{INDEX_SQL} SELECT stratum, row_id, is_start, {_r('greatest(t, -1.0::DOUBLE)', 't')}, late AS not_failure, {_r('mw', 'minus_weight')} FROM pts",
+        kernel(lambda obs, idx: order.lexsort(obs)),
+        f"""WITH {events_sql(True, True, 'zeros').strip()},{INDEX_SQL} SELECT stratum, row_id, is_start,
+row_number() OVER (PARTITION BY stratum ORDER BY t, late, mw, is_start, row_id) - 1 AS position FROM pts""",
     )
+    out["strata"] = (lambda spark, d: _cox(spark, d, "efron", True, True).strata(), f"WITH {events_sql(True, True, 'zeros').strip()} SELECT stratum, count(*) AS n FROM obs GROUP BY stratum")
+    out["stratum_rows"] = (lambda spark, d: _cox(spark, d, "efron", True, True).stratum_rows(), f"WITH {events_sql(True, True, 'zeros').strip()} SELECT stratum, row_id FROM obs")
 
     def prework(obs: DataFrame, idx: DataFrame) -> DataFrame:
         at = idx.select(F.col("row_id").alias("_i"), "scaling")
@@ -288,10 +293,9 @@ FROM obs JOIN idx USING (row_id) LEFT JOIN idx o2 ON o2.stratum = obs.stratum AN
         kernel(prework),
         f"{n} SELECT row_id, {_r('CASE WHEN weight > 0 THEN status * weight * scaling / (4 + exp(v1)) ** 2 * v1 ELSE 0 END', 'value')} FROM oo",
     )
-    out["sum_over_events"] = (
-        kernel(lambda obs, idx: order.sum_over_events(obs, idx, F.col("v0"))),
-        f"""{n}, ft AS (SELECT stratum, event AS t, sum(v0) AS f, sum(v0 * scaling) AS fs FROM oo WHERE hit GROUP BY stratum, event)
-SELECT o.stratum, o.row_id, {_r('coalesce(sum(f - CASE WHEN o.hit AND t = o.event THEN fs ELSE 0 END), 0)', 'value')} FROM oo o LEFT JOIN ft ON ft.stratum = o.stratum AND o.start < t AND t <= o.event GROUP BY o.stratum, o.row_id""",
+    out["forward_prework_plain"] = (
+        kernel(lambda obs, idx: obs.select("row_id", order.forward_prework(0, 1, F.col("status").cast("double"), F.lit(0.0), F.lit(4.0) + F.exp("v1")).alias("value"))),
+        f"{n} SELECT row_id, {_r('status / (4 + exp(v1))', 'value')} FROM oo",
     )
     return out
 
