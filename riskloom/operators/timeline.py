@@ -78,9 +78,10 @@ def largest_tie(line: DataFrame) -> int:
 
 
 def _of_member(s: Column, w: Column, r: Column, d: Column, k: Column) -> list[Column]:
-    """What one member of a tie adds to each of MOMENTS."""
+    """What one member of a tie adds to each of MOMENTS (null for a sum of 0, which counts as a bad time)."""
     mean, rm = w / k, r - s * d
-    return [mean / rm, mean / (rm * rm), mean * s / rm, mean * s / (rm * rm), mean * s * s / (rm * rm), mean * s * s / rm, mean * F.log(rm), mean * F.log(1 - s)]
+    one, two = F.try_divide(mean, rm), F.try_divide(mean, rm * rm)
+    return [one, two, one * s, two * s, two * s * s, one * s * s, mean * F.log(rm), mean * F.log(1 - s)]
 
 
 def _of_tie(w: Column, r: Column, d: Column, k: Column) -> Column:
@@ -105,7 +106,7 @@ def moments(risk: DataFrame, efron: bool, largest: int) -> DataFrame:
     """
     w, r, d, k, zero = F.col("w"), F.col("r"), F.col("d"), F.col("k"), F.lit(0.0)
     if not efron:
-        values = [w / r, w / (r * r), zero, zero, zero, zero, w * F.log(r), w * F.log(w)]
+        values = [F.try_divide(w, r), F.try_divide(w, r * r), zero, zero, zero, zero, w * F.log(r), w * F.log(w)]
         return risk.select("*", *(F.when(k > 0, v).otherwise(zero).alias(n) for n, v in zip(MOMENTS, values)))
     in_row = F.when(k <= INLINE, k).otherwise(0)
     out = risk.withColumn("_m", _of_tie(w, r, d, in_row))

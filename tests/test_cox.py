@@ -7,37 +7,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from riskloom.api import CoxLikelihood
-from riskloom.operators import order
+from riskloom.operators import order, timeline
 
 NEG = float("-inf")
 COLS = "i long, g int, start double, event double, status int, w double, eta double, v double, x double"
-# What can happen at one time: how many start then and how many events fall then.
-COINCIDENCES = [(0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (2, 1), (1, 2), (2, 2)]
-
-
-def pattern(types, rng, stratum, first_id):
-    """Intervals whose starts and ends coincide as the types say, one time per type; a few censored ones after all."""
-    rows, times = [], 0.0
-    for starts, events in types:
-        times += 1.0
-        a, b = (rng.integers(2, 5) if n == 2 else n for n in (starts, events))
-        rows += [(times, times + rng.integers(1, 6) + 0.5, int(rng.random() < 0.6)) for _ in range(a)]
-        rows += [(times - rng.integers(1, 4), times, int(rng.random() < 0.7)) for _ in range(b)]
-    last = max(r[1] for r in rows)
-    rows += [(0.0, last + 1 + k, 0) for k in range(3)]
-    out = []
-    for k, (s, e, d) in enumerate(rows):
-        out.append((first_id + k, stratum, float(s), float(e), d, float(rng.poisson(2) + rng.random()), float(rng.normal()), float(rng.normal()), float(rng.normal())))
+
+
+def tied_rows(rng, stratum, first_id):
+    """A small stratum whose starts and events lie on a grid of whole numbers, so that they coincide in many ways."""
+    grid, out = int(rng.integers(2, 7)), []
+    for k in range(int(rng.integers(1, 16))):
+        start = int(rng.integers(0, grid))
+        event = start + int(rng.integers(1, grid + 1))
+        weight = float(rng.integers(0, 4) / 2 + rng.random())
+        out.append((first_id + k, stratum, float(start), float(event), int(rng.random() < 0.65), weight, *(float(x) for x in rng.normal(size=3))))
     return out
 
 
 @pytest.fixture(scope="module")
 def all_patterns():
     rng, rows = np.random.default_rng(0), []
-    subsets = [c for n in range(1, 9) for c in itertools.combinations(COINCIDENCES, n)]
-    assert len(subsets) == 255
-    for g, types in enumerate(subsets):
-        rows += pattern(types, rng, g, len(rows))
+    for g in range(220):
+        rows += tied_rows(rng, g, len(rows))
     return rows
 
 
@@ -51,7 +42,7 @@ def definition(rows, efron, starts=True, strata=True, ones=False):
     groups = {}
     for r in rows:
         groups.setdefault(r[1] if strata else 0, []).append(r)
-    per_row, dev, sat_all, quad = {}, 0.0, 0.0, 0.0
+    per_row, dev, sat_all, quad = {}, 0.0, 0.0, np.zeros((2, 2))
     for rs in groups.values():
         ids = [r[0] for r in rs]
         start = np.array([r[2] if starts else NEG for r in rs])
@@ -77,7 +68,8 @@ def definition(rows, efron, starts=True, strata=True, ones=False):
                 info += total / k * (np.diag(p) - np.outer(p, p))
         dev += 2 * (sat - ll)
         sat_all += sat
-        quad += x @ info @ x
+        both = np.stack([v, x])
+        quad += both @ info @ both.T
         per_row.update({i: (-2 * g, 2 * h, u) for i, g, h, u in zip(ids, grad, np.diag(info), info @ v)})
     return per_row, (dev, sat_all), quad
 
@@ -101,7 +93,33 @@ def test_against_the_definition(spark, all_patterns, ties, starts, strata, weigh
     assert got.keys() == want.keys()
     for i, (g, h, u) in want.items():
         assert (got[i].gradient, got[i].diag_hessian, got[i].iv_0) == pytest.approx((g, h, u), abs=1e-9)
-    assert info.quadratic_form(["x"]).first().value == pytest.approx(quad, rel=1e-9, abs=1e-9)
+    cells = {(r.i, r.j): r.value for r in info.quadratic_form(["v", "x"]).collect()}
+    assert set(cells) == {(0, 0), (0, 1), (1, 1)}
+    for (i, j), value in cells.items():
+        assert value == pytest.approx(quad[i, j], rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("inline, run", [(1, 2), (2, 3), (1024, 8192)])
+def test_ties_are_summed_up_in_rows_or_in_runs(spark, all_patterns, monkeypatch, inline, run):
+    monkeypatch.setattr(timeline, "INLINE", inline)
+    monkeypatch.setattr(timeline, "RUN", run)
+    want, (dev, sat), quad = definition(all_patterns[:300], True)
+    cox = CoxLikelihood(spark.createDataFrame(all_patterns[:300], COLS), "event", "status", strata="g", start="start", row_id="i")
+    assert cox("eta", "w").deviance == pytest.approx(dev) and cox("eta", "w").loglik_sat == pytest.approx(sat)
+    for r in cox.information("eta", "w").rows("v").collect():
+        assert (r.gradient, r.diag_hessian, r.iv_0) == pytest.approx(want[r.row_id], abs=1e-9)
+
+
+def test_many_features_and_several_columns(spark, all_patterns, monkeypatch):
+    cox = CoxLikelihood(spark.createDataFrame(all_patterns[:500], COLS), "event", "status", strata="g", start="start", row_id="i")
+    info = cox.information("eta", "w")
+    features = ["v", "x", F.col("v") * F.col("x")]
+    few = {(r.i, r.j): r.value for r in info.quadratic_form(features).collect()}
+    monkeypatch.setattr("riskloom.api.PAIRED", 2)
+    assert {(r.i, r.j): r.value for r in info.quadratic_form(features).collect()} == pytest.approx(few, abs=1e-9)
+    key = lambda r: r.row_id
+    assert sorted((info @ ["v", "x"]).collect(), key=key) == sorted(info.matvec("v", "x").collect(), key=key)
+    assert (info @ "v").columns == (info @ F.col("v")).columns == ["row_id", "iv_0"]
 
 
 DOC = [(0, 1, 4, 0, 0.13, 1.03), (1, 0, 3, 0, -0.13, 1.12), (2, 1, 3, 0, 0.64, 1.67), (3, 2, 6, 1, 0.1, 1.65), (4, 5, 7, 1, -0.54, 1.62), (5, 5, 8, 1, 0.36, 1.38), (6, 1, 5, 0, 1.3, 2.0), (7, 2, 6, 1, 0.95, 1.98), (8, 3, 7, 1, -0.7, 1.69), (9, 5, 10, 1, -1.27, 1.65), (10, 0, 2, 1, -0.62, 1.69), (11, 4, 6, 1, 0.04, 1.39), (12, 5, 7, 0, -2.33, 1.14), (13, 5, 9, 0, -0.22, 1.72), (14, 1, 4, 0, -1.25, 1.53), (15, 0, 2, 1, -0.73, 1.31), (16, 3, 7, 0, -0.54, 1.49), (17, 0, 5, 1, -0.32, 1.89), (18, 0, 5, 1, 0.41, 1.93), (19, 0, 3, 0, 1.04, 1.36)]
@@ -230,6 +248,52 @@ def test_validation(spark, change, text):
         CoxLikelihood(df, "event", "status", strata="g", start="start", sample_weight="w", row_id="i")
 
 
+@pytest.mark.parametrize("change", [{"eta": "CAST(NULL AS DOUBLE)"}, {"eta": "CAST('NaN' AS DOUBLE)"}, {"eta": "CAST('-Infinity' AS DOUBLE)"}, {"w": "CAST(NULL AS DOUBLE)"}, {"w": "CAST('NaN' AS DOUBLE)"}, {"w": "-1D"}, {"w": "CAST('Infinity' AS DOUBLE)"}])
+def test_calls_are_checked(spark, change):
+    df = spark.createDataFrame([(i, 0, 0.0, 1.0 + i, 1, 1.0, 0.1 * i, 0.0, 0.0) for i in range(5)], COLS)
+    for name, to in change.items():
+        df = df.withColumn(name, F.when(F.col("i") == 3, F.expr(to)).otherwise(F.col(name)))
+    cox = CoxLikelihood(df, "event", "status", row_id="i")
+    text = "linear_predictor" if "eta" in change else "sample_weight"
+    for use in (lambda: cox("eta", "w").deviance, lambda: cox("eta", "w").rows(), lambda: cox.information("eta", "w").matvec("v"), lambda: cox.information("eta", "w").quadratic_form(["v"])):
+        with pytest.raises(ValueError, match=text):
+            use()
+    if "w" in change:
+        assert cox("eta").deviance > 0
+        with pytest.raises(ValueError, match=text):
+            cox.risk_index("w")
+
+
+def test_a_name_and_its_column_are_one_predictor(spark):
+    df = spark.createDataFrame(DOC, "i long, start long, event long, status int, eta double, weight double")
+    cox = CoxLikelihood(df, "event", "status", row_id="i")
+    assert cox("eta", "weight") is cox(F.col("eta"), F.col("weight")) and cox("eta") is not cox("weight") and cox("eta") is not cox("eta", "weight")
+
+
+def test_ids_must_be_unique_for_an_index(spark):
+    rows = [(i, 0, 0.0, 1.0 + i, 1, 1.0, 0.1 * i, 0.0, 0.0) for i in range(5)]
+    twice = CoxLikelihood(spark.createDataFrame([*rows, rows[0]], COLS), "event", "status", row_id="i")
+    for use in (twice.risk_index, twice.preprocess):
+        with pytest.raises(ValueError, match="unique"):
+            use()
+    assert twice("eta").rows().count() == 6
+    unnamed = CoxLikelihood(spark.createDataFrame([*rows, rows[0]], COLS), "event", "status")
+    assert unnamed("eta").deviance == pytest.approx(twice("eta").deviance) and unnamed.risk_index().count() == 6
+
+
+def test_a_failure_without_a_positive_risk_sum(spark):
+    """The last failure's risk score underflows to 0."""
+    df = spark.createDataFrame([(0, 0, NEG, 1.0, 1, 1.0, 0.0, 1.0, 0.0), (1, 0, NEG, 2.0, 1, 1.0, -4000.0, 1.0, 0.0)], COLS)
+    cox = CoxLikelihood(df, "event", "status", row_id="i")
+    assert cox("eta").scalars().first().bad_times == 1
+    info = cox.information("eta")
+    for use in (lambda: cox("eta").deviance, lambda: cox("eta").rows(), lambda: info.matvec("v"), lambda: info.score(["v"])):
+        with pytest.raises(ArithmeticError, match="1 failure times"):
+            use()
+    with pytest.raises(Exception, match="1 failure times"):
+        info.quadratic_form(["v"]).collect()
+
+
 def test_options_are_checked(spark):
     df = spark.createDataFrame([(0, 0, 0.0, 1.0, 1, 1.0, 0.0, 0.0, 0.0)], COLS)
     for bad in ({"tie_breaking": "exact"}, {"compat": "x"}):
@@ -277,6 +341,9 @@ def test_index_and_kernels(spark, all_patterns):
     sums = {(r.stratum, r.position): r.value for r in order.forward_cumsum(ordered, F.col("v")).collect()}
     rev = {(r.stratum, r.position): (r.by_event, r.by_start) for r in order.reverse_cumsums(obs, idx, F.col("v")).collect()}
     risk = {r.row_id: r.value for r in order.sum_over_risk_set(obs, idx, F.col("v")).collect()}
+    plain = {r.row_id: r.value for r in order.sum_over_risk_set(obs, idx, F.col("v"), efron=False).collect()}
+    joint = {(r.stratum, r.position): (r.row_id, r.is_start) for r in order.lexsort(obs).collect()}
+    assert len(joint) == 2 * len(rows)
     events = {r.row_id: r.value for r in order.sum_over_events(obs, idx, F.col("v")).collect()}
     for g in {r[1] for r in rows}:
         rs = [r for r in rows if r[1] == g]
@@ -284,7 +351,14 @@ def test_index_and_kernels(spark, all_patterns):
         for k in range(len(rs) + 1):
             assert sums[g, k] == pytest.approx(sum(r[7] for r in by_event[:k]), abs=1e-9)
             assert rev[g, k] == pytest.approx((sum(r[7] for r in by_event[k:]), sum(r[7] for r in by_start[k:])), abs=1e-9)
+        points = sorted([(r[3], 1 - r[4], -r[5], 0, r[0]) for r in rs] + [(r[2], 1, -r[5], 1, r[0]) for r in rs])
+        assert [joint[g, k] for k in range(len(points))] == [(p[4], p[3]) for p in points]
         hits = [r for r in rs if r[4] == 1 and r[5] > 0]
+        for r in rs:
+            w = want[r[0]]
+            whole = sum(x[7] for x in by_event[w[2] :]) - sum(x[7] for x in by_start[w[5] :])
+            assert plain[r[0]] == pytest.approx(whole, abs=1e-9)
+            assert risk[r[0]] == pytest.approx(whole - w[4] * sum(x[7] for x in by_event[w[2] : w[3] + 1]), abs=1e-9)
         for r in hits:
             tie = sum(o[7] for o in hits if o[3] == r[3])
             assert risk[r[0]] == pytest.approx(sum(o[7] for o in rs if o[2] < r[3] <= o[3]) - want[r[0]][4] * tie, abs=1e-9)

@@ -32,6 +32,14 @@ def test_stream_equals_batch(spark, tmp_path, ties):
     more = running.scalars().first().n
     running.add(spark.createDataFrame(data[:100], COLS), 99)
     assert running.scalars().first().n == more == 400
+    before = running.scalars(by_stratum=True).orderBy("deviance").collect()
+    running.compact()
+    running.compact()  # nothing is left to add up
+    assert len(running._written()[1]) == 1 and running.rejected() == 3
+    for a, b in zip(before, running.scalars(by_stratum=True).orderBy("deviance").collect()):
+        assert tuple(a) == pytest.approx(tuple(b))
+    running.add(spark.createDataFrame(data[:100], COLS), 99)
+    assert running.scalars().first().n == 400
 
 
 def test_options(spark, tmp_path):
