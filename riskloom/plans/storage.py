@@ -50,6 +50,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint that keeps the partitioning: what groups by the same key needs no shuffle.
+
+    Under adaptive execution a plan's partitioning is not known, so the checkpoint is made without it.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.select("*").checkpoint()  # a new plan, made under this setting
+    finally:
+        spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
