@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.plans.storage import discard, materialise, new_path, shared_dir
+from riskloom.plans.storage import checkpointed, discard, materialise, new_path, shared_dir
 
 # Text bytes and rows that are worked on at once inside a Python worker.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096

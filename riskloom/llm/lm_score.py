@@ -7,25 +7,29 @@ state, each n-gram that occurs an arc with its log-probability, and each state
 has a failure arc to g' with weight log(k / (c(g) + k)).  A text is scored by
 one traversal from left to right.
 
-The model grows with the corpus, so no task holds it whole.  Documents are
-dealt into blocks of bounded size by a hash.  A block counts its n-grams and
+The model grows with the corpus, so no task holds it whole.  Consecutive rows of a partition make
+a block of bounded size, which is kept compressed in the checkpoint folder.  A block counts its words and word pairs and
 sends their hashes, sorted and packed, to buckets by hash range; a bucket adds
-up and answers each block with the corpus's counts in the order asked.  With
-these a block builds the part of the automaton that its texts can reach.
+up and answers each block in the order asked: the corpus's count of what other blocks have as well,
+nothing for what only this block has, whose own count is the corpus's.  Longer n-grams follow in a second round, but only those of
+pairs that other blocks have: no other block can have the rest.  With
+these counts a block builds the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc32_mod, materialise
+from .common import checkpointed, crc32_mod, materialise, slices, sole
 
 # Of orders 2, 3 and 4, and of priors for contexts of 1, 2 and 3 words, the best for documents with remainder 1 under a model of those with 2 to 9.
 ORDER, PRIORS = 4, (8000.0, 500.0, 0.5)
@@ -35,6 +39,9 @@ FOLDS, HELD_OUT = 10, 0
 ADD = 0.1
 BLOCK_BYTES = 8 << 20
 START, END = 0, 1
+WORD_BITS = 64
+# Hashes of n-grams have so many bits more than a number of all the corpus's tokens: one in 2 ** MARGIN_BITS shares its hash by chance, at any size.
+MARGIN_BITS = 20
 
 
 class _Numbers(dict):
@@ -55,15 +62,39 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def ranked(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For 64-bit hashes that are equal if their top `bits` bits are: a number for each, from 0 in hash
+    order; those bits of each number; and one place of each number.
+
+    Places are sorted along in the low bits of the hashes, which is much faster than sorting places by hashes.
+    """
+    n, cut = len(h), np.uint64(64 - bits)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low = max(1, (n - 1).bit_length())
+    mask = np.uint64((1 << low) - 1)
+    packed = (h & ~mask) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    at = (packed & mask).astype(np.int64)
+    key = h[at] >> cut
+    if bits > 64 - low and (key[1:] < key[:-1]).any():  # hashes that differ only where the places stood
+        at = np.argsort(h >> cut, kind="stable")
+        key = h[at] >> cut
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(n, np.int32)
+    number[at] = np.cumsum(new, dtype=np.int32) - 1
+    return number, key[new], at[new]
+
+
 class Block:
     """The n-grams of a block's texts.
 
-    gram[k][t] numbers the (k+1)-gram that ends at token t (-1: none);
-    hashes[k] are the hashes of these numbers, prefix[k] and last[k] their
-    parts; sorted_by_hash[k] lists the numbers in hash order, as they are sent.
+    gram[k][t] numbers the (k+1)-gram that ends at token t (-1: none), words in order of appearance, longer ones in hash
+    order; keys[k] are their hashes, place[k] a token where each ends; by_hash lists the words in hash order.
     """
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, bits: int):
         numbers = _Numbers()
         parts = []
         for x in texts:  # a text's words are numbered at once and let go
@@ -74,112 +105,225 @@ class Block:
             parts.append(part)
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.first = np.cumsum(self.sizes) - self.sizes
-        w = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        total = len(w)
+        w = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         del parts
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.v = len(numbers) + 2
         word_hash = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in numbers), np.uint64, len(numbers))
-        self.hashes = [np.concatenate([np.array([1, 2], np.uint64), word_hash])]
-        self.gram, self.prefix, self.last = [w], [np.zeros(self.v, np.int64)], [np.arange(self.v)]
-        at = np.arange(total) - self.first[self.doc] if total else np.zeros(0, np.int64)
-        before = np.full(total, START, np.int64)
-        before[1:] = w[:-1]
-        before[at == 0] = START
+        word_hash = np.concatenate([np.array([1, 2], np.uint64), word_hash])
+        self.by_hash = np.argsort(word_hash, kind="stable")
+        self.at = (np.arange(len(w)) - np.repeat(self.first, self.sizes)).astype(np.int32)
+        self.gram, self.keys, self.place = [w], [word_hash], [np.zeros(0, np.int64)]
+        own = word_hash[w]
+        h = own
         for k in range(1, order):
-            has = (at >= k - 1) & (before >= 0)
-            g = np.full(total, -1, np.int64)
-            pairs, g[has] = np.unique(before[has] * self.v + w[has], return_inverse=True)
+            before = np.roll(h, 1)
+            before[self.at == 0] = word_hash[START]
+            h = _mix(before, own)
+            has = np.flatnonzero(self.at >= k - 1)
+            number, keys, place = ranked(h[has], bits)
+            g = np.full(len(w), -1, np.int32)
+            g[has] = number
             self.gram.append(g)
-            self.prefix.append(pairs // self.v)
-            self.last.append(pairs % self.v)
-            self.hashes.append(_mix(self.hashes[k - 1][self.prefix[k]], self.hashes[0][self.last[k]]))
-            before = np.full(total, -1, np.int64)
-            before[1:] = g[:-1]
-            before[at == 0] = -1
-        self.sorted_by_hash = [np.argsort(h, kind="stable") for h in self.hashes]
+            self.keys.append(keys)
+            self.place.append(has[place])
 
     def counts(self, k: int, learn: np.ndarray) -> np.ndarray:
+        """How often each (k+1)-gram ends in the documents to learn from."""
         g = self.gram[k][learn[self.doc]]
-        return np.bincount(g[g >= 0], minlength=len(self.hashes[k]))
+        return np.bincount(g[g >= 0], minlength=len(self.keys[k]))
+
+    def maybe_shared(self, k: int, shared_pairs: np.ndarray) -> np.ndarray:
+        """The (k+1)-grams all of whose word pairs are in other blocks too."""
+        at, ok = self.place[k], np.ones(len(self.place[k]), bool)
+        for step in range(k):
+            ok &= shared_pairs[self.gram[1][at - step]]
+        return np.flatnonzero(ok)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted different numbers (Elias-Fano): low bits as they are, the rest as gaps in unary, some 2 + log2(range / n) bits each."""
+    n = len(keys)
+    lo = int(keys[0])
+    rel = keys - keys[0]
+    low = max(0, (int(rel[-1]) // n).bit_length() - 1)
+    high = (rel >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    marks = np.zeros(int(high[-1]) + 1, np.uint8)
+    marks[high] = 1
+    whole, rest = divmod(low, 8)
+    raw = rel.astype("<u8").view(np.uint8).reshape(-1, 8)
+    parts = [np.array([n, lo, len(marks)], "<u8").tobytes(), bytes([low]), np.packbits(marks).tobytes(), raw[:, :whole].tobytes()]
+    if rest:
+        parts.append(np.packbits((raw[:, whole, None] >> np.arange(rest, dtype=np.uint8)) & 1).tobytes())
+    return b"".join(parts)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n, lo, marks = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    low, at = data[24], 25
+    whole, rest = divmod(low, 8)
+    size = (marks + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=marks)) - np.arange(n)
+    at += size
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :whole] = np.frombuffer(data, np.uint8, n * whole, at).reshape(n, whole)
+    if rest:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at + n * whole), count=n * rest).reshape(n, rest)
+        raw[:, whole] = bits @ (1 << np.arange(rest, dtype=np.uint8))
+    return raw.view("<u8").ravel() + (high.astype(np.uint64) << np.uint64(low)) + np.uint64(lo)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers in 1, 2, 4 or 8 bytes each, compressed; the first bytes say how many."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    raw = x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _pack(sorted_keys: np.ndarray) -> bytes:
-    """Gaps of sorted 64-bit numbers in as many bytes as the largest needs; the first byte says how many."""
-    gaps = np.diff(sorted_keys, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def unpack_numbers(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], size, codec="zstd", asbytes=True) if size else b"", f"<u{data[0]}").astype(np.int64)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    short = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(short), 8), np.uint8)
-    full[:, :width] = short
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+BLOCKS = "block long, size long, docs long, rows binary"
+SENT = "block long, bucket int, ord int, hashes binary, counts binary"
+ANSWER = "block long, bucket int, ord int, counts binary, distinct long, total long"
+_LONG, _INT, _BINARY = pa.int64(), pa.int32(), pa.binary()
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Whole numbers in 1, 2, 4 or 8 bytes each; the first byte says how many."""
-    top = int(x.max()) if len(x) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": _LONG, "int": _INT, "binary": _BINARY}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(fields)
+    return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def _blocks(block_bytes: int):
+    """Rows in blocks of about `block_bytes` of text, or one text each, compressed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
-SENT = "block int, bucket int, ord int, hashes binary, counts binary"
-ANSWER = "block int, bucket int, ord int, counts binary, distinct long, total long"
+        def out() -> Iterator[pa.RecordBatch]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            docs = sum(pc.sum(part.column("learn")).as_py() or 0 for part in held)
+            yield from _table(BLOCKS, [(number, size, docs, sink.getvalue().to_pybytes())]).to_batches()
 
+        for part in slices(batches, "text", block_bytes, 1 << 16):
+            more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + more > block_bytes:
+                yield from out()
+                number, held, size = number + 1, [], 0
+            held.append(part)
+            size += more
+        if held:
+            yield from out()
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+    return run
 
 
-def _send(order: int, buckets: int):
-    """A block's n-grams, a row for each order and bucket."""
+def _rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        b = Block(table.column("text").to_pylist(), order)
-        learn = np.array(table.column("learn").to_pylist(), bool)
-        rows = []
-        for k in range(order):
-            by, n = b.sorted_by_hash[k], b.counts(k, learn)
-            keys = b.hashes[k][by]
-            bucket = _bucket(keys, buckets)
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for first, last in zip(edges, [*edges[1:], len(keys)]):
-                rows.append((block, int(bucket[first]), k, _pack(keys[first:last]), _small(n[by[first:last]])))
-        cols = list(zip(*rows))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=_names(SENT))
+
+def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Ranges of equal width, so that order by key is order by bucket and key."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _messages(block: int, k: int, keys: np.ndarray, n: np.ndarray, bits: int, buckets: int) -> list[tuple]:
+    """Sorted hashes and their counts, a row for each bucket."""
+    bucket = _bucket(keys, bits, buckets)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return [(block, int(bucket[a]), k, pack_keys(keys[a:b]), pack_numbers(n[a:b])) for a, b in zip(edges, [*edges[1:], len(keys)])]
+
+
+def _first_round(order: int, bits: int, buckets: int):
+    """Each block's words and word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("rows")):
+                rows = _rows(data.as_buffer())
+                b = Block(rows.column("text").to_pylist(), min(order, 2), bits)
+                learn = rows.column("learn").to_numpy()
+                out = _messages(block, 0, b.keys[0][b.by_hash], b.counts(0, learn)[b.by_hash], WORD_BITS, buckets)
+                if order > 1:
+                    out += _messages(block, 1, b.keys[1], b.counts(1, learn), bits, buckets)
+                yield from _table(SENT, out).to_batches()
 
     return run
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of equal width, so that order by key is order by bucket and key."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Add up a bucket; `distinct` and `total` (of words seen in training) stand in its first row alone."""
-    bucket, orders = table.column("bucket")[0].as_py(), table.column("ord").to_numpy()
-    block, hashes, counts = table.column("block").to_pylist(), table.column("hashes"), table.column("counts")
-    rows = []
-    for k in np.unique(orders).tolist():
-        at = np.flatnonzero(orders == k)
-        keys = [_unpack(hashes[i].as_py()) for i in at.tolist()]
-        n = np.concatenate([_numbers(counts[i].as_py()) for i in at.tolist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=n).astype(np.int64)
-        known, total, ends = (int((sums > 0).sum()), int(sums.sum()), np.cumsum([len(x) for x in keys])) if k == 0 else (0, 0, np.cumsum([len(x) for x in keys]))
-        for j, (i, part) in enumerate(zip(at.tolist(), np.split(sums[inverse], ends[:-1]))):
-            rows.append((block[i], bucket, k, _small(part), known if j == 0 else 0, total if j == 0 else 0))
-    cols = list(zip(*rows))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=_names(ANSWER))
+def _answered(answers: pa.Table, k: int) -> np.ndarray:
+    """The answers to a block's (k+1)-grams, in hash order."""
+    mine = answers.filter(pc.equal(answers.column("ord"), k)).sort_by("bucket")
+    return np.concatenate([unpack_numbers(x) for x in mine.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
+
+
+def _known(b: Block, k: int, local: np.ndarray, answers: pa.Table, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus's counts of a block's (k+1)-grams, and which are in other blocks too."""
+    got = _answered(answers, k)
+    if len(got) != len(asked):
+        raise RuntimeError(f"{len(got)} answers to {len(asked)} n-grams")
+    count, shared = local.copy(), np.zeros(len(local), bool)
+    shared[asked] = got > 0
+    count[asked] = np.where(got > 0, got - 1, local[asked])
+    return count, shared
+
+
+def _second_round(order: int, bits: int, buckets: int):
+    """The longer n-grams that other blocks may have."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        sole()
+        out = []
+        for i in range(blocks.num_rows):
+            rows = _rows(blocks.column("rows")[i].as_buffer())
+            b = Block(rows.column("text").to_pylist(), order, bits)
+            learn = rows.column("learn").to_numpy()
+            _, shared = _known(b, 1, b.counts(1, learn), answers, np.arange(len(b.keys[1])))
+            for k in range(2, order):
+                some = b.maybe_shared(k, shared)
+                if len(some):
+                    out += _messages(blocks.column("block")[i].as_py(), k, b.keys[k][some], b.counts(k, learn)[some], bits, buckets)
+        return _table(SENT, out)
+
+    return run
+
+
+def _answer(bits: int):
+    """Add up a bucket: for each hash of a block 1 + its count in the corpus, or 0 if no other block has it.
+
+    `distinct` and `total` (of words seen in training) stand in its first row alone.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, orders = table.column("bucket")[0].as_py(), table.column("ord").to_numpy()
+        block, hashes, counts = table.column("block").to_pylist(), table.column("hashes"), table.column("counts")
+        out = []
+        for k in np.unique(orders).tolist():
+            at = np.flatnonzero(orders == k).tolist()
+            keys = [unpack_keys(hashes[i].as_py()) for i in at]
+            ends = np.cumsum([len(x) for x in keys])
+            n = np.concatenate([unpack_numbers(counts[i].as_py()) for i in at])
+            width = WORD_BITS if k == 0 else bits
+            number, _, _ = ranked(np.concatenate(keys) << np.uint64(64 - width), width)
+            del keys
+            sums, blocks = np.bincount(number, weights=n).astype(np.int64), np.bincount(number)
+            known, total = (int((sums > 0).sum()), int(sums.sum())) if k == 0 else (0, 0)
+            reply = np.where(blocks > 1, sums + 1, 0)[number]
+            for j, (i, part) in enumerate(zip(at, np.split(reply, ends[:-1]))):
+                out.append((block[i], bucket, k, pack_numbers(part), known if j == 0 else 0, total if j == 0 else 0))
+        return _table(ANSWER, out)
+
+    return run
 
 
 def _priors(prior: float | Sequence[float], order: int) -> list[float]:
@@ -191,115 +335,114 @@ def _priors(prior: float | Sequence[float], order: int) -> list[float]:
 
 
 class Automaton:
-    """States, arcs and failure arcs over a block's word numbers; state 0 is the empty context.
+    """States, arcs and failure arcs over a block's n-grams; state 0 is the empty context.
 
-    Arcs are sorted by state * v + word.  Unknown words have arcs from state 0 too,
-    with the probability of a word not seen.
+    The arcs of order k are the (k+1)-grams: arc g has the log-probability logp[k][g] (NaN: no arc) and leads to
+    state target[k][g].  Words that don't occur in training have arcs from state 0 too,
+    with the probability of a word not seen.  depth is the length of a state's context.
     """
 
     def __init__(self, b: Block, counts: list[np.ndarray], total: int, distinct: int, docs: int, prior: float | Sequence[float]):
-        order, self.v = len(counts), b.v
-        uni = np.log10((counts[0] + ADD) / (total + ADD * (distinct + 1)))
-        context = counts[0].copy()  # how often each word is a context
-        context[START], context[END] = docs, 0
-        state = [np.where(context > 0, np.cumsum(context > 0), 0)]  # of each gram, by order; 0: none
-        seen = [context]
-        size = 1 + int((context > 0).sum())
-        for k in range(1, order - 1):
-            c = np.where(b.last[k] == END, 0, counts[k])
-            state.append(np.where(c > 0, size - 1 + np.cumsum(c > 0), 0))
-            seen.append(c)
+        order, self.b = len(counts), b
+        priors = _priors(prior, order)
+        before = lambda k: b.gram[k - 1][b.place[k] - 1]
+        # of each (k+1)-gram: itself without its last word, and without its first one, as k-grams
+        head = [np.zeros(b.v, np.int32), *(np.where(b.at[b.place[k]] == 0, START, before(k)) if k == 1 else before(k) for k in range(1, order))]
+        tail = [np.zeros(b.v, np.int32), *(b.gram[k - 1][b.place[k]] for k in range(1, order))]
+        seen = []  # how often each is a context
+        for k in range(order - 1):
+            ends = b.gram[0][b.place[k]] == END if k else np.arange(b.v) == END
+            seen.append(np.where(ends, 0, counts[k]))
+            if k == 0:
+                seen[0][START] = docs
+        self.state, self.depth = [], [np.zeros(1, np.int8)]
+        size = 1
+        for k, c in enumerate(seen):
+            self.state.append(np.where(c > 0, size - 1 + np.cumsum(c > 0), 0))
             size += int((c > 0).sum())
+            self.depth.append(np.full(int((c > 0).sum()), k + 1, np.int8))
+        self.depth = np.concatenate(self.depth)
         self.fail, self.fail_weight = np.zeros(size, np.int64), np.zeros(size)
-        back: list[np.ndarray] = [np.zeros(b.v, np.int64)]  # number of each gram without its first word
-        for k in range(1, order):
-            shorter = b.last[1] if k == 1 else None
-            if k > 1:  # g without its first word: found by its own parts
-                code = back[k - 1][b.prefix[k]] * b.v + b.last[k]
-                own = b.prefix[k - 1] * b.v + b.last[k - 1]
-                spot = np.minimum(np.searchsorted(own, code), len(own) - 1)
-                shorter = spot
-            back.append(shorter)
-        priors = _priors(prior, order)
-        for k in range(len(state)):
-            has = state[k] > 0
-            if k < len(priors):
-                self.fail_weight[state[k][has]] = np.log10(priors[k] / (seen[k][has] + priors[k]))
+        for k, c in enumerate(seen):
+            has = c > 0
+            self.fail_weight[self.state[k][has]] = np.log10(priors[k] / (c[has] + priors[k]))
             if k:
-                self.fail[state[k][has]] = state[k - 1][back[k][has]]
-        keys, logp, nxt = [np.arange(b.v)], [uni], [state[0] if order > 1 else np.zeros(b.v, np.int64)]
-        p = [10.0**uni]
+                self.fail[self.state[k][has]] = self.state[k - 1][tail[k][has]]
+        p = [(counts[0] + ADD) / (total + ADD * (distinct + 1))]
+        self.logp, self.target, self.source = [np.log10(p[0])], [self.state[0] if order > 1 else np.zeros(b.v, np.int64)], [np.zeros(b.v, np.int64)]
         for k in range(1, order):
-            h = seen[k - 1][b.prefix[k]]
-            prior = priors[k - 1]
-            p.append(np.where(h > 0, (counts[k] + prior * p[k - 1][back[k]]) / (h + prior), p[k - 1][back[k]]))
-            has = counts[k] > 0
-            keys.append(state[k - 1][b.prefix[k][has]] * b.v + b.last[k][has])
-            logp.append(np.log10(p[k][has]))
-            longest = state[k][has] if k < order - 1 else np.zeros(int(has.sum()), np.int64)
-            step, at = k, np.flatnonzero(has)
-            short = back[k][at]
-            while step > 0:
-                step -= 1
-                longest = np.where(longest > 0, longest, state[step][short])
-                short = back[step][short]
-            nxt.append(longest)
-        key = np.concatenate(keys)
-        by = np.argsort(key, kind="stable")
-        self.key, self.logp, self.next = key[by], np.concatenate(logp)[by], np.concatenate(nxt)[by]
-        self.start = int(state[0][START]) if order > 1 else 0
-
-    def score(self, w: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: all texts go one token to the right at a time, each with its state."""
-        by = np.argsort(-sizes, kind="stable")
-        first, sizes = first[by], sizes[by]
-        total, state = np.zeros(len(by)), np.full(len(by), self.start, np.int64)
-        active = len(by)
-        for t in range(int(sizes[0]) if len(by) else 0):
-            while sizes[active - 1] <= t:
-                active -= 1
-            word = w[first[:active] + t]
-            at = state[:active].copy()
-            todo = np.arange(active)
-            while len(todo):
-                code = at[todo] * self.v + word[todo]
-                arc = np.minimum(np.searchsorted(self.key, code), len(self.key) - 1)
-                hit = self.key[arc] == code
-                found = todo[hit]
-                total[found] += self.logp[arc[hit]]
-                state[found] = self.next[arc[hit]]
-                todo = todo[~hit]
-                total[todo] += self.fail_weight[at[todo]]
-                at[todo] = self.fail[at[todo]]
+            h, shorter = seen[k - 1][head[k]], p[k - 1][tail[k]]
+            p.append(np.where(h > 0, (counts[k] + priors[k - 1] * shorter) / (h + priors[k - 1]), shorter))
+            self.logp.append(np.where(counts[k] > 0, np.log10(p[k]), np.nan))
+            own = self.state[k] if k < order - 1 else np.zeros(len(h), np.int64)
+            self.target.append(np.where(own > 0, own, self.target[k - 1][tail[k]]))  # the longest end of it that is a state
+            self.source.append(self.state[k - 1][head[k]])
+        self.start = int(self.state[0][START]) if order > 1 else 0
+
+    def resolved(self) -> tuple[np.ndarray, np.ndarray]:
+        """For a state of each depth and each token: the log-probability by its arc, or its failure arcs' weights and then an arc's, and the depth reached."""
+        b, order = self.b, len(self.logp)
+        gain, depth = np.zeros((order, len(b.doc))), np.zeros((order, len(b.doc)), np.int8)
+        for k in range(order):
+            g = b.gram[k]
+            at = np.flatnonzero(g >= 0)
+            arc = g[at]
+            gain[k, at], depth[k, at] = self.logp[k][arc], self.depth[self.target[k][arc]]
+            if k:
+                none = at[np.isnan(gain[k, at])]
+                gain[k, none] = self.fail_weight[self.source[k][g[none]]] + gain[k - 1, none]
+                depth[k, none] = depth[k - 1, none]
+        return gain, depth
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each text: all texts go one token to the right at a time, each with its state.
+
+        A state is told by its depth and the tokens before, so the depth is what is carried.
+        """
+        b = self.b
+        gain, depth = self.resolved()
+        width = len(b.doc)
+        gain, depth = gain.ravel(), depth.ravel()
+        by = np.argsort(-b.sizes, kind="stable")
+        first, sizes = b.first[by], b.sizes[by]
+        total, state = np.zeros(len(by)), np.full(len(by), self.depth[self.start], np.int64)
+        alive = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(by) else 0), side="left").tolist()
+        for t, active in enumerate(alive):
+            arc = state[:active] * width + (first[:active] + t)
+            total[:active] += gain[arc]
+            state[:active] = depth[arc]
         out = np.empty(len(by))
         out[by] = total
         return out
 
 
-def _score(order: int, total: int, distinct: int, docs: int, prior: float | Sequence[float], id_type: pa.DataType):
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+SCORES = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(rows.column("text").to_pylist() if rows.num_rows else [], order)
-        n = rows.num_rows
-        if n:
-            a = sorted(zip(answers.column("ord").to_pylist(), answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()), key=lambda r: r[:2])
-            counts = []
+def _score(order: int, bits: int, total: int, distinct: int, docs: int, prior: float | Sequence[float], id_type: pa.DataType):
+    kinds = [id_type, pa.bool_(), _LONG, _LONG, _LONG, pa.float64(), pa.float64()]
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        sole()
+        parts = []
+        for i in range(blocks.num_rows):
+            rows = _rows(blocks.column("rows")[i].as_buffer())
+            b = Block(rows.column("text").to_pylist(), order, bits)
+            learn, n = rows.column("learn").to_numpy(), rows.num_rows
+            counts, shared = [], None
             for k in range(order):
-                c = np.zeros(len(b.hashes[k]), np.int64)
-                c[b.sorted_by_hash[k]] = np.concatenate([_numbers(x[2]) for x in a if x[0] == k] or [np.zeros(0, np.int64)])
-                counts.append(c)
-            del a, b.hashes, b.sorted_by_hash
-            w = b.gram[0]
-            c = counts[0][w]
+                asked = b.by_hash if k == 0 else np.arange(len(b.keys[1])) if k == 1 else b.maybe_shared(k, shared)
+                count, found = _known(b, k, b.counts(k, learn), answers, asked)
+                shared = found if k == 1 else shared
+                counts.append(count)
+            b.keys = []
+            c = counts[0][b.gram[0]]
             base = np.bincount(b.doc, weights=np.log10((c + ADD) / (total + ADD * (distinct + 1))), minlength=n)
-            score = Automaton(b, counts, total, distinct, docs, prior).score(w, b.first, b.sizes)
             known = np.bincount(b.doc, weights=c > 0, minlength=n).astype(np.int64)
-        else:
-            base = score = np.zeros(0)
-            known = np.zeros(0, np.int64)
-        held = rows.column("held_out")
-        return pa.table([rows.column("id").cast(id_type), held, pa.array(b.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=names)
+            score = Automaton(b, counts, total, distinct, docs, prior).score()
+            values = [rows.column("id").cast(id_type), rows.column("held_out"), pa.array(b.sizes, _LONG), pa.array(known, _LONG), pa.array([total] * n, _LONG), pa.array(base), pa.array(score)]
+            parts.append(pa.table(values, names=["id", *SCORES]))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in kinds], names=["id", *SCORES])
 
     return run
 
@@ -316,23 +459,33 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     nothing to learn from, each token has probability 1 / 1.
     `prior` is one number, or one for contexts of each length from 1 to `order` - 1;
     by default PRIORS at the order they were chosen for, else PRIOR.
-    Words count as equal if their 64-bit hashes are.  Memory is that of a block and of a bucket,
-    both `block_bytes` of text on average whatever the corpus holds.
+    Words count as equal if their 64-bit hashes are, longer n-grams if hashes of MARGIN_BITS bits more than
+    a number of all tokens takes are.  Memory is that of a block and of a bucket, of
+    `block_bytes` and twice as many bytes of text, or of the longest text.
     """
     if prior is None:
         prior = PRIORS if order == ORDER else PRIOR
-    part = crc32_mod("id", FOLDS)
+    _priors(prior, order)
+    spark, part = df.sparkSession, crc32_mod("id", FOLDS)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(part != HELD_OUT, F.lit(False))).withColumn("held_out", F.coalesce(part == HELD_OUT, F.lit(False)))
-    sums = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.coalesce(F.sum(F.col("learn").cast("int")), F.lit(0)).alias("docs")).first()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(math.ceil(sums["size"] / block_bytes), min(parts, math.ceil(sums["size"] / (1 << 20))), 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    sent = rows.select("block", "text", "learn").groupBy("block").applyInArrow(_send(order, blocks), SENT)
-    answers = materialise(sent.groupBy("bucket").applyInArrow(_answer, ANSWER), "ngrams")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out once and kept that way: no later step moves the texts again
+    blocks = checkpointed(rows.mapInArrow(_blocks(block_bytes), BLOCKS).repartition(parts, "block"))
+    sums = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+    buckets = max(math.ceil(sums["size"] / (2 * block_bytes)), min(parts, math.ceil(sums["size"] / (1 << 20))), 1)
+    bits = min(64, MARGIN_BITS + max(20, (sums["size"] // 4).bit_length()))
+    add_up = lambda sent: sent.groupBy("bucket").applyInArrow(_answer(bits), ANSWER)
+    answers = materialise(add_up(blocks.select("block", "rows").mapInArrow(_first_round(order, bits, buckets), SENT)), "words")
     seen = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    of_block = lambda a: a.select("block", "bucket", "ord", "counts").groupBy("block")
+    if order > 2:
+        pairs = answers.where("ord = 1")
+        sent = blocks.select("block", "rows").groupBy("block").cogroup(of_block(pairs)).applyInArrow(_second_round(order, bits, buckets), SENT)
+        answers = answers.unionByName(materialise(add_up(sent), "ngrams"))
     id_field = df.schema[id_col]
-    schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    run = _score(order, int(seen["total"]), int(seen["distinct"]), int(sums["docs"]), prior, to_arrow_type(id_field.dataType))
-    out = rows.select("block", "id", "text", "held_out").groupBy("block").cogroup(answers.select("block", "bucket", "ord", "counts").groupBy("block")).applyInArrow(run, schema)
+    kinds = [T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([T.StructField("id", id_field.dataType), *(T.StructField(n, t) for n, t in zip(SCORES, kinds))])
+    run = _score(order, bits, int(seen["total"]), int(seen["distinct"]), int(sums["docs"]), prior, to_arrow_type(id_field.dataType))
+    out = blocks.select("block", "rows").groupBy("block").cogroup(of_block(answers)).applyInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

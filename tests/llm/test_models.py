@@ -1,5 +1,6 @@
 """Language model, language identification, quality rules and mixing."""
 
+import hashlib
 import math
 import random
 import re
@@ -57,9 +58,9 @@ def brute_lm(docs, order, prior):
     return out
 
 
-@pytest.mark.parametrize("order, block", [(1, 1 << 24), (2, 1 << 24), (2, 20_000), (3, 50_000)])
+@pytest.mark.parametrize("order, block", [(1, 1 << 24), (2, 20_000), (3, 50_000), (4, 3_000)])
 def test_scores(edge, edge_rows, order, block):
-    got = lm_score.lm_score(edge, order=order, block_bytes=block).collect()
+    got = lm_score.lm_score(edge, order=order, prior=lm_score.PRIOR, block_bytes=block).collect()
     want = brute_lm([(r[0], r[1]) for r in edge_rows], order, lm_score.PRIOR)
     key = lambda r: (str(r[0]), r[2], r[5])
     assert len(got) == len(want)
@@ -90,20 +91,20 @@ def test_registered_order_and_priors(spark):
 
 def test_probabilities_sum_to_one():
     texts = ["a b a c", "b a", "a a b"]
-    b = lm_score.Block(texts, 3)
+    b = lm_score.Block(texts, 3, 46)
     learn = np.ones(3, bool)
     counts = [b.counts(k, learn) for k in range(3)]
     total, distinct = int(counts[0].sum()), int((counts[0] > 0).sum())
     auto = lm_score.Automaton(b, counts, total, distinct, 3, 4.0)
+    words = {k: b.gram[0][b.place[k]] if k else np.arange(b.v) for k in range(3)}
+    arcs = {(s, w): p for k in range(3) for s, w, p in zip(auto.source[k].tolist(), words[k].tolist(), auto.logp[k].tolist()) if p == p}
 
     def log_p(state, word):
         out = 0.0
-        while True:
-            hit = np.flatnonzero(auto.key == state * auto.v + word)
-            if len(hit):
-                return out + auto.logp[hit[0]]
+        while (state, word) not in arcs:
             out += auto.fail_weight[state]
             state = auto.fail[state]
+        return out + arcs[state, word]
 
     for state in range(len(auto.fail)):
         seen = sum(10 ** log_p(state, w) for w in range(b.v) if counts[0][w] > 0)
@@ -112,6 +113,44 @@ def test_probabilities_sum_to_one():
             unseen *= 10 ** auto.fail_weight[state]
             state = auto.fail[state]
         assert seen + unseen == pytest.approx(1)
+    # the traversal with a state at a time says the same as the one with resolved failure arcs
+    next_state = {(s, w): t for k in range(3) for s, w, p, t in zip(auto.source[k].tolist(), words[k].tolist(), auto.logp[k].tolist(), auto.target[k].tolist()) if p == p}
+    for first, n, got in zip(b.first, b.sizes, auto.score()):
+        state, want = auto.start, 0.0
+        for w in b.gram[0][first : first + n].tolist():
+            want += log_p(state, w)
+            while (state, w) not in arcs:
+                state = auto.fail[state]
+            state = next_state[state, w]
+        assert got == pytest.approx(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sampled_from([40, 46, 64]))
+def test_ranked(xs, bits):
+    h = np.array([*xs, *xs[::2]], np.uint64)
+    number, keys, place = lm_score.ranked(h, bits)
+    own = h >> np.uint64(64 - bits)
+    assert keys.tolist() == sorted(set(own.tolist())) and (keys[number] == own).all() and (own[place] == keys).all()
+
+
+def test_messages_grow_with_the_input_and_unique_ngrams_stay_at_home(spark, monkeypatch):
+    """Twice the texts give twice the packed rows at most; what only one block has isn't sent in the second round."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(120)]
+    sent = {}
+    real = lm_score.materialise
+    monkeypatch.setattr(lm_score, "materialise", lambda df, name: sent.setdefault(name, real(df, name)))
+    rows = []
+    for n in (60, 120):
+        sent.clear()
+        lm_score.lm_score(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "doc_id long, text string").coalesce(1), block_bytes=20_000).count()
+        rows.append(sum(x.count() for x in sent.values()))
+    assert rows[1] <= 4 * rows[0]  # blocks x buckets, both in proportion: n-grams bound it
+    alone = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    sent.clear()
+    lm_score.lm_score(alone, block_bytes=5_000).count()
+    assert sent["words"].count() > 0 and sent["ngrams"].count() == 0
 
 
 def test_lm_empty_and_unlearnt(spark, empty):
@@ -121,12 +160,12 @@ def test_lm_empty_and_unlearnt(spark, empty):
     assert (got[0].train_tokens, got[0].n_known, got[0].score, got[0].base_score) == (0, 0, 0.0, 0.0)
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
-def test_packed_numbers(xs):
-    a = np.unique(np.array(xs, np.uint64))
-    assert (lm_score._unpack(lm_score._pack(a)) == a).all()
-    assert (lm_score._numbers(lm_score._small(a >> np.uint64(1))) == (a >> np.uint64(1)).astype(np.int64)).all()
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50), st.integers(0, 60))
+def test_packed_numbers(xs, shift):
+    a = np.unique(np.array(xs, np.uint64) >> np.uint64(shift))
+    assert (lm_score.unpack_keys(lm_score.pack_keys(a)) == a).all()
+    assert (lm_score.unpack_numbers(lm_score.pack_numbers(a >> np.uint64(1))) == (a >> np.uint64(1)).astype(np.int64)).all()
 
 
 def test_codewords():
@@ -224,6 +263,10 @@ def test_calibration():
     assert slope == pytest.approx(2, abs=0.2) and shift == pytest.approx(-1, abs=0.2)
 
 
+def uniform(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
 def poisson_quantile(mean, u):
     k, p = 0, math.exp(-mean)
     total = p
@@ -238,14 +281,12 @@ def test_mixing(spark, edge, edge_rows, empty):
     got = mixing.mix_sources(edge)
     assert got.columns[: len(edge.columns)] == edge.columns
     n = Counter(r[3] for r in edge_rows)
-    w = {s: round(math.sqrt(c) * 1e6) for s, c in n.items()}
+    w = {s: math.sqrt(c) for s, c in n.items()}
     rate = {s: w[s] / sum(w.values()) * sum(n.values()) / c for s, c in n.items()}
     want = Counter()
+    names = {r.text: f"row {r.h}" for r in edge.where("doc_id IS NULL").withColumn("h", F.xxhash64(*edge.columns)).collect()}
     for r in edge_rows:
-        import hashlib
-
-        u = int(hashlib.md5(f"42|{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
-        for _ in range(poisson_quantile(rate[r[3]], u)):
+        for _ in range(poisson_quantile(rate[r[3]], uniform(42, names[r[1]] if r[0] is None else r[0]))):
             want[(r[0], r[1])] += 1
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
     assert mixing.mix_sources(empty).count() == 0
@@ -271,9 +312,34 @@ def test_mixing_with_more_sources_than_are_broadcast(edge, monkeypatch):
     assert Counter((r.doc_id, r.text) for r in mixing.mix_sources(edge).collect()) == few
 
 
-def test_large_means(spark):
-    got = spark.range(1).select(mixing.poisson_cdf(F.lit(2000.0)).alias("c")).first().c
-    assert got[-1] == pytest.approx(1, abs=1e-9) and got[2000] == pytest.approx(0.5, abs=0.02) and all(a <= b for a, b in zip(got, got[1:]))
+def test_large_rates(spark):
+    """A rate over PART_MEAN is a sum of parts; a document's many copies are all there, in many partitions."""
+    df = spark.createDataFrame([(0, "one"), *((i, "rest") for i in range(1, 20_001))], "doc_id long, source string")
+    got = mixing.mix_sources(df, weights={"one": 1, "rest": 1})
+    rate = 20_001 / 2
+    parts = math.ceil(rate / mixing.PART_MEAN)
+    want = sum(poisson_quantile(rate / parts, uniform(42, 0, "part", i)) for i in range(1, parts + 1))
+    one = got.where("source = 'one'")
+    assert abs(want - rate) < 6 * math.sqrt(rate) and want > 2 * mixing.RANGE
+    assert sorted(r["copy"] for r in one.collect()) == list(range(want)) and {r.n_copies for r in one.collect()} == {want}
+    assert one.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_only_ratios_of_weights_count(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS source")
+    key = ["doc_id", "copy"]
+    many = [sorted(tuple(r) for r in mixing.mix_sources(df, weights={"a": 2 * f, "b": 3 * f, "absent": 1e9 * f}).select(*key).collect()) for f in (1e-9, 1.0, 2.0**40)]
+    assert many[0] == many[1] == many[2] and len(many[0]) > 2500
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, weights={"a": bad})
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    df = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' AS source", "CAST(id AS STRING) AS text")
+    got = mixing.mix_sources(df)
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) == 4 and max(per) < 1.2 * min(per) and sum(per) == pytest.approx(20_000, rel=0.05)
 
 
 def test_samples_stay_bounded_when_an_id_is_repeated(spark):
