@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpointed, crc32_mod, materialise, slices, sole
+from .common import checkpointed, crc32_mod, materialise, release, slices, sole
 
 # Of orders 2, 3 and 4, and of priors for contexts of 1, 2 and 3 words, the best for documents with remainder 1 under a model of those with 2 to 9.
 ORDER, PRIORS = 4, (8000.0, 500.0, 0.5)
@@ -358,23 +358,23 @@ class Automaton:
         self.state, self.depth = [], [np.zeros(1, np.int8)]
         size = 1
         for k, c in enumerate(seen):
-            self.state.append(np.where(c > 0, size - 1 + np.cumsum(c > 0), 0))
+            self.state.append(np.where(c > 0, size - 1 + np.cumsum(c > 0), 0).astype(np.int32))
             size += int((c > 0).sum())
             self.depth.append(np.full(int((c > 0).sum()), k + 1, np.int8))
         self.depth = np.concatenate(self.depth)
-        self.fail, self.fail_weight = np.zeros(size, np.int64), np.zeros(size)
+        self.fail, self.fail_weight = np.zeros(size, np.int32), np.zeros(size)
         for k, c in enumerate(seen):
             has = c > 0
             self.fail_weight[self.state[k][has]] = np.log10(priors[k] / (c[has] + priors[k]))
             if k:
                 self.fail[self.state[k][has]] = self.state[k - 1][tail[k][has]]
         p = [(counts[0] + ADD) / (total + ADD * (distinct + 1))]
-        self.logp, self.target, self.source = [np.log10(p[0])], [self.state[0] if order > 1 else np.zeros(b.v, np.int64)], [np.zeros(b.v, np.int64)]
+        self.logp, self.target, self.source = [np.log10(p[0])], [self.state[0] if order > 1 else np.zeros(b.v, np.int32)], [np.zeros(b.v, np.int32)]
         for k in range(1, order):
             h, shorter = seen[k - 1][head[k]], p[k - 1][tail[k]]
             p.append(np.where(h > 0, (counts[k] + priors[k - 1] * shorter) / (h + priors[k - 1]), shorter))
             self.logp.append(np.where(counts[k] > 0, np.log10(p[k]), np.nan))
-            own = self.state[k] if k < order - 1 else np.zeros(len(h), np.int64)
+            own = self.state[k] if k < order - 1 else np.zeros(len(h), np.int32)
             self.target.append(np.where(own > 0, own, self.target[k - 1][tail[k]]))  # the longest end of it that is a state
             self.source.append(self.state[k - 1][head[k]])
         self.start = int(self.state[0][START]) if order > 1 else 0
@@ -401,6 +401,7 @@ class Automaton:
         """
         b = self.b
         gain, depth = self.resolved()
+        self.logp = self.target = self.source = self.state = []  # all that is needed of them is in there
         width = len(b.doc)
         gain, depth = gain.ravel(), depth.ravel()
         by = np.argsort(-b.sizes, kind="stable")
@@ -440,8 +441,12 @@ def _score(order: int, bits: int, total: int, distinct: int, docs: int, prior: f
             base = np.bincount(b.doc, weights=np.log10((c + ADD) / (total + ADD * (distinct + 1))), minlength=n)
             known = np.bincount(b.doc, weights=c > 0, minlength=n).astype(np.int64)
             score = Automaton(b, counts, total, distinct, docs, prior).score()
+            del counts, count, found, asked
+            b.gram = []
             values = [rows.column("id").cast(id_type), rows.column("held_out"), pa.array(b.sizes, _LONG), pa.array(known, _LONG), pa.array([total] * n, _LONG), pa.array(base), pa.array(score)]
             parts.append(pa.table(values, names=["id", *SCORES]))
+            del b, rows
+            release()
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in kinds], names=["id", *SCORES])
 
     return run
@@ -470,8 +475,9 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(part != HELD_OUT, F.lit(False))).withColumn("held_out", F.coalesce(part == HELD_OUT, F.lit(False)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out once and kept that way: no later step moves the texts again
-    blocks = checkpointed(rows.mapInArrow(_blocks(block_bytes), BLOCKS).repartition(parts, "block"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # dealt out once and kept that way, some blocks a task: no later step moves the texts again
+    blocks = checkpointed(rows.mapInArrow(_blocks(block_bytes), BLOCKS).repartition(max(parts, math.ceil(size / (4 * block_bytes))), "block"))
     sums = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
     buckets = max(math.ceil(sums["size"] / (2 * block_bytes)), min(parts, math.ceil(sums["size"] / (1 << 20))), 1)
     bits = min(64, MARGIN_BITS + max(20, (sums["size"] // 4).bit_length()))

@@ -113,8 +113,9 @@ def test_probabilities_sum_to_one():
             unseen *= 10 ** auto.fail_weight[state]
             state = auto.fail[state]
         assert seen + unseen == pytest.approx(1)
+    source, target, logp = auto.source, auto.target, auto.logp
     # the traversal with a state at a time says the same as the one with resolved failure arcs
-    next_state = {(s, w): t for k in range(3) for s, w, p, t in zip(auto.source[k].tolist(), words[k].tolist(), auto.logp[k].tolist(), auto.target[k].tolist()) if p == p}
+    next_state = {(s, w): t for k in range(3) for s, w, p, t in zip(source[k].tolist(), words[k].tolist(), logp[k].tolist(), target[k].tolist()) if p == p}
     for first, n, got in zip(b.first, b.sizes, auto.score()):
         state, want = auto.start, 0.0
         for w in b.gram[0][first : first + n].tolist():
