@@ -12,6 +12,7 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,11 +34,25 @@ _LOWER = bytes(32 if i in (0x85, 0xA0) else ord(chr(i).lower()) for i in range(2
 _CLASS = bytes(ord("P") if chr(i) in ".," else 32 if chr(i).isspace() and not 0x1C <= i <= 0x1F else ord("w") if chr(i).isalnum() else ord("S") for i in range(256))
 
 
+# The normaliser and pre-tokenizer, as the file has them, for which a text's ids are its words' ids.
+KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordEncoder(dict):
     """word -> its token ids as little-endian uint32 bytes; a bounded cache.
 
-    For tokenizers that split at blanks, and between letters and symbols,
-    before anything else, and that lower the case, so that a text's ids are its words' ids in order.
+    For the tokenizer whose settings are below: it splits at blanks, and between letters and symbols,
+    before anything else, and lowers the case, so that a text's ids are its words' ids in order.
+    With any other settings each text is encoded whole by the library.
     When it is full its words step back to a second cache, from which those
     that come again return; what was in there goes.
     """
@@ -45,6 +60,11 @@ class WordEncoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        settings = json.loads(self.tokenizer.to_str())
+        odd = any(t[k] for t in settings["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        self.by_words = (settings["normalizer"], settings["pre_tokenizer"]) == KNOWN and settings["model"]["type"] == "BPE" and not settings["model"]["dropout"] and not odd
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[bytes | str, bytes] = {}
 
@@ -64,6 +84,8 @@ class WordEncoder(dict):
 
     def text(self, text: str) -> bytes:
         """The ids of a text."""
+        if not self.by_words:
+            return self.ids(text)
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -140,7 +162,7 @@ def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float =
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_sequences: int = BLOCK_SEQUENCES, linear: float = 1.0, quadratic: float = 1.0) -> DataFrame:
-    """Tokenize whole texts, end each with `end_id`, and pack them.
+    """Tokenize whole texts with any file of the tokenizers library, end each with `end_id`, and pack them.
 
     Returns a row per piece: the id, start, length, ids_crc32 (of the piece's
     ids as little-endian unsigned 32-bit numbers), doc_tokens (with the end),
@@ -149,7 +171,7 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, size: in
     partition, so memory is bounded by a block and the longest document.
     Null texts are empty (one piece: the end id); repeated rows and ids are
     packed as often as they occur; equal lengths go in input order; an empty
-    table gives no pieces; columns besides the two are ignored.  sequence_id
+    table gives no pieces; columns besides the two, whatever their names, are ignored; a text of any length is cut, never dropped.  sequence_id
     and doc_row hold the partition in their upper 31 bits.
     """
     id_field = T.StructField(id_col, df.schema[id_col].dataType)

@@ -23,7 +23,9 @@ from .common import CACHES, slices, sole, texts
 
 BLANK = "▁"
 CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 600_000, 1_000_000, 48
-_NORMAL = 1
+_NORMAL, _BYTE = 1, 6
+# Strings that any of the usual normalisations would change.
+PROBES = ["ﬁ", "①", "e\u0301", "é", "Ａ", "ABC", "\u00ad", "\u2028", "漢\U0001f600"]
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -81,6 +83,8 @@ class PrefixCounter(dict):
             raise ValueError("the model has user-defined pieces or pieces that go on beyond a blank")
         if sp.encode_as_pieces("a  b ")[:1] != [BLANK + "a"] or "".join(sp.encode_as_pieces(" a  b ")) != f"{BLANK}{BLANK}a{BLANK}{BLANK}b{BLANK}":
             raise ValueError("the model normalises blanks")
+        if sum(k == _BYTE for k in kinds) != 256 or any(sp.decode(sp.encode(x)) != x for x in PROBES):
+            raise ValueError("the model has no byte pieces or normalises characters")
         self.tails = {p[i:] for p in self.rank for i in range(len(p))}
         self.newline = "\n" not in "".join(self.rank)
         self.pairs: dict = {}
