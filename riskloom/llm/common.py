@@ -71,26 +71,36 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-BITMAP_BITS = 23
-
-
-def bitmap(df: DataFrame, *cols: Column) -> DataFrame:
-    """word, bits: a hash bitmap of the values in `cols`, at most 2 ** (BITMAP_BITS - 6) rows whatever `df` holds."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(1 << BITMAP_BITS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63))
-    return df.select(F.shiftright(h, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def split_by(df: DataFrame, words: DataFrame, *cols: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows whose values in `cols` may be in a bitmap, and those whose values surely aren't.
-
-    The bitmap is broadcast, as its size is bounded; a full one only sends more rows to the first part.
-    """
-    word, bits, h = fresh(df, "word", "bits", "h")
-    marked = df.withColumn(h, F.pmod(F.xxhash64(*cols), F.lit(1 << BITMAP_BITS)).cast("int"))
-    marked = marked.join(F.broadcast(words.toDF(word, bits)), F.shiftright(h, 6) == F.col(word), "left")
-    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), F.col(h).bitwiseAND(63)).bitwiseAND(1) == 1, F.lit(False))
-    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+# A bitmap has so many bits for each value, a power of two in all, and at most 2 ** BITMAP_BITS: 4 MB.
+BITS_EACH, BITMAP_BITS = 32, 25
+
+
+class Bitmap:
+    """A hash bitmap of values, written: `words` has a row for each 64 bits that aren't all 0."""
+
+    def __init__(self, df: DataFrame, *cols: Column):
+        n = df.count()
+        self.bits = min(BITMAP_BITS, max(6, (BITS_EACH * n).bit_length()))
+        h = F.pmod(F.xxhash64(*cols), F.lit(1 << self.bits)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63))
+        words = df.select(F.shiftright(h, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        self.words = materialise(words, "bitmap")
+
+    def split(self, df: DataFrame, *cols: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows whose values in `cols` may be in the bitmap, and those whose values surely aren't.
+
+        The bitmap is broadcast, as its size is bounded; a full one only sends more rows to the first part.
+        """
+        word, bits, h = fresh(df, "word", "bits", "h")
+        marked = df.withColumn(h, F.pmod(F.xxhash64(*cols), F.lit(1 << self.bits)).cast("int"))
+        marked = marked.join(F.broadcast(self.words.toDF(word, bits)), F.shiftright(h, 6) == F.col(word), "left")
+        hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), F.col(h).bitwiseAND(63)).bitwiseAND(1) == 1, F.lit(False))
+        return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+    def pick(self, df: DataFrame, values: DataFrame, col: str) -> DataFrame:
+        """The rows whose `col` is in the one column of `values`: the bitmap leaves nearly all others where they are, a semi-join the rest."""
+        (key,) = fresh(df, "key")
+        return self.split(df, F.col(col))[0].join(values.toDF(key), F.col(col).eqNullSafe(F.col(key)), "left_semi")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

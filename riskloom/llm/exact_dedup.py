@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import bitmap, fresh, materialise, slices, sole, split_by, texts
+from .common import Bitmap, fresh, materialise, slices, sole, texts
 
 BLANKS = b" \t\n\r\x0b\x0c"
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
@@ -121,10 +121,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     An empty table gives an empty result.
     """
     r = materialise(_recipes(df, id_col, text_col, hash_bits), "recipes")
-    twice = r.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
-    # documents that aren't suspects don't move: bitmaps of the suspects' recipes and ids leave nearly all of them out
-    suspects, _ = split_by(r, materialise(bitmap(twice, F.col("recipe")), "twice"), F.col("recipe"))
-    looked_at, _ = split_by(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), materialise(bitmap(suspects, F.col("id")), "suspects"), F.col("id"))
+    # chunks of documents that aren't suspects don't move, however many there are: bitmaps of the suspects' recipes and ids
+    # leave nearly all of them out, and semi-joins the rest
+    twice = materialise(r.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("recipe").alias("h")), "twice")
+    marked = r.select("id", F.xxhash64("recipe").alias("h"))
+    suspects = materialise(Bitmap(twice, F.col("h")).pick(marked, twice, "h").select("id").distinct(), "suspects")
+    looked_at = Bitmap(suspects, F.col("id")).pick(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), suspects, "id")
     moved = _contents(looked_at, "text", hash_bits)
     distinct = moved.groupBy("hash", "bytes").agg(F.count("*").alias("n"))
     unlike = materialise(distinct.groupBy("hash").agg(F.count("*").alias("contents")).where("contents > 1").select("hash"), "unlike")
@@ -162,7 +164,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sha, k_id, k_sha, n = fresh(df, "sha", "k_id", "k_sha", "n")
     decided = materialise(exact_dedup(df, id_col, text_col).select(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha), "kept"), "decided")
     # only rows whose id may be one of a dropped row are looked up: the others stay where they are
-    doubtful, sure = split_by(df, bitmap(decided.where("NOT kept"), F.col(k_id)), F.col(id_col))
+    doubtful, sure = Bitmap(decided.where("NOT kept"), F.col(k_id)).split(df, F.col(id_col))
     rows = with_sha(doubtful, text_col, sha).join(decided.where("kept"), F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi")
     one = Window.partitionBy(id_col, sha).orderBy(F.lit(0))
     return sure.unionByName(rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*df.columns))

@@ -6,10 +6,11 @@ pair are compared a few at a time; a pair is dropped when the posterior
 probability that its similarity reaches the threshold is below a tolerance.
 The rest is verified on the sets themselves.
 
-No pair is a row.  A bucket's members are dealt into parts of bounded size and
+No pair is a row, nor written in any other form.  A bucket's members are dealt into parts of bounded size and
 each two parts meet in a tile of their own, so a bucket of any size is whole
 and no task holds it all.  A pair counts in the first band in which it
-collides, and in no other; a tile returns for each member its number of links
+collides, and in no other.  A first round of tiles returns the members that are in a pair which stays; their sets
+are fetched, and in a second round a tile of such members compares and verifies in one go.  It returns for each member its number of links
 and one edge towards its component, from which the components of the corpus
 are made by alternating large and small stars.
 """
@@ -25,7 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import CACHES, bitmap, fresh, materialise, slices, sole, split_by, texts
+from .common import CACHES, Bitmap, discard, fresh, materialise, slices, sole, texts
 
 WORDS, THRESHOLD = 5, 0.8
 # A pair at the threshold shares no band with probability (1 - 0.8**4)**24, about 3e-6.
@@ -280,56 +281,47 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition(n, *TILE).sortWithinPartitions(*TILE, "c")
 
 
-def _prune(least: list[int], threshold: Fraction) -> Callable:
-    """For each member of a tile that is in a pair that stays: the partners after it."""
-    names = [*TILE, "c", "partners"]
+def _surviving_pairs(tile: pa.Table, threshold: Fraction, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a tile's rows that stay."""
+    ti, tj, band = (tile.column(x)[0].as_py() for x in ("ti", "tj", "band"))
+    n, side = (tile.column(x).to_numpy() for x in ("n", "side"))
+    sig = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint8).reshape(len(n), CHECKS)
+    keys = tile.column("keys").combine_chunks()
+    keys = np.asarray((keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten()).reshape(len(n), BANDS)
+    found = [survivors(sig, keys, n, a, b, band, threshold, least) for a, b in tile_pairs(side, ti != tj)]
+    none = np.zeros(0, np.int64)  # no pairs at all: no member of the tile's bucket lies in one of its two parts
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=names)
+def _prune(least: list[int], threshold: Fraction) -> Callable:
+    """The members of a tile that are in a pair that stays."""
+    names = ["key", "band", "c"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _grouped(batches, TILE):
             if tile.num_rows < 2:
                 continue
-            key, ti, tj, band = (tile.column(x)[0].as_py() for x in (*TILE, "band"))
-            c, n, side = (tile.column(x).to_numpy() for x in ("c", "n", "side"))
-            sig = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint8).reshape(len(c), CHECKS)
-            keys = tile.column("keys").combine_chunks()
-            keys = np.asarray((keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten()).reshape(len(c), BANDS)
-            found = [survivors(sig, keys, n, a, b, band, threshold, least) for a, b in tile_pairs(side, ti != tj)]
-            if not found:  # no member of the tile's bucket lies in one of its two parts
-                continue
-            left, right = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            order = np.argsort(left, kind="stable")
-            left, right = left[order], right[order]
-            for i in np.union1d(left, right).tolist():
-                lo, hi = np.searchsorted(left, [i, i + 1])
-                held.append((key, ti, tj, int(c[i]), c[right[lo:hi]].astype("<i8").tobytes()))
-            if len(held) > 2000:
-                yield out()
-                held = []
-        if held:
-            yield out()
+            left, right = _surviving_pairs(tile, threshold, least)
+            some = tile.select(names).take(pa.array(np.union1d(left, right)))
+            if some.num_rows:
+                yield from some.combine_chunks().to_batches()
 
     return run
 
 
-def _verify(threshold: Fraction) -> Callable:
+def _verify(least: list[int], threshold: Fraction) -> Callable:
     """For each member of a tile that has a link: its links, what they weigh, and a smaller member of its component."""
     names = ["c", "links", "linked_rows", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _grouped(batches, TILE):
-            c, size = tile.column("c").to_numpy(), tile.column("class_size").to_numpy()
-            sets = [np.frombuffer(x, "<u8") for x in tile.column("set").to_pylist()]
-            lists = [np.frombuffer(x, "<i8") for x in tile.column("partners").to_pylist()]
-            left = np.repeat(np.arange(len(c)), [len(x) for x in lists])
-            right = np.searchsorted(c, np.concatenate(lists))
-            both = common_sizes(sets, left, right)
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            if tile.num_rows < 2:
+                continue
+            left, right = _surviving_pairs(tile, threshold, least)
+            if not len(left):
+                continue
+            c, size, n = (tile.column(x).to_numpy() for x in ("c", "class_size", "n"))
+            both = common_sizes([np.frombuffer(x, "<u8") for x in tile.column("set").to_pylist()], left, right)
             link = both * threshold.denominator >= (n[left] + n[right] - both) * threshold.numerator
             left, right = left[link], right[link]
             if not len(left):
@@ -349,9 +341,12 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; the edges are written after each round.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    seen = last = None
     while True:
         edges = materialise(edges, "edges")
+        if last is not None:
+            discard(last)
+        last = edges
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select("u", F.col("v").alias("root"))
@@ -387,15 +382,19 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = bands.groupBy("key").agg(F.count("*").alias("bucket_size"), F.min("band").alias("band"), F.min("c").alias("low"), F.max("c").alias("high"), inside(1).alias("x1"), inside(2).alias("x2")).where("bucket_size > 1")
     # buckets with the same members in several bands: the first is enough
     buckets = buckets.groupBy("bucket_size", "low", "high", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "bucket_size")
+    least = least_matches(threshold, tolerance)
     members = bands.join(buckets, "key").join(classes.select("c", "n", "keys", "sig"), "c")
-    tiles = _dealt(_tiles(members, part))
-    pairs = materialise(tiles.mapInArrow(_prune(least_matches(threshold, tolerance), exact), "key long, ti int, tj int, c long, partners binary"), "pairs")
-    needed = materialise(pairs.select("c").distinct().join(classes.select("c", "class_size", "f1", "f2", F.col("first.id").alias("id")), "c"), "needed")
-    # texts aren't shuffled: a bitmap of the ids finds nearly all others, and the sets of the rest meet their classes
-    found, _ = split_by(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bitmap(needed, F.col("id")), F.col("id"))
-    sets = found.select("text").mapInArrow(_sets(width), "f1 long, f2 long, set binary").join(needed.drop("id"), ["f1", "f2"]).select("c", "class_size", "set").dropDuplicates(["c"])
-    checked = _dealt(pairs.join(sets, "c")).mapInArrow(_verify(exact), "c long, links long, linked_rows long, root long")
+    stay = _dealt(_tiles(members, part)).mapInArrow(_prune(least, exact), "key long, band int, c long")
+    stay = materialise(stay.distinct(), "members")  # in proportion to the members, however many pairs there are
+    needed = materialise(stay.select("c").distinct().join(classes.select("c", "class_size", "n", "keys", "sig", "f1", "f2", F.col("first.id").alias("id")), "c"), "needed")
+    # texts aren't shuffled: a bitmap of the ids leaves nearly all others where they are, a semi-join the rest, and the sets meet their classes
+    ids = needed.select("id").distinct()
+    found = Bitmap(ids, F.col("id")).pick(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, "id")
+    sets = found.select("text").mapInArrow(_sets(width), "f1 long, f2 long, set binary").join(needed.drop("id"), ["f1", "f2"]).drop("f1", "f2").dropDuplicates(["c"])
+    sizes = stay.groupBy("key").agg(F.count("*").alias("bucket_size"))
+    checked = _dealt(_tiles(stay.join(sizes, "key").join(sets, "c"), part)).mapInArrow(_verify(least, exact), "c long, links long, linked_rows long, root long")
     links = materialise(checked, "links")
+    discard(stay, needed)
     counts = links.groupBy("c").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
     roots = components(links.select(F.col("c").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "c")
     ours = classes.select("f1", "f2", "c", "first", "class_size").join(counts, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -434,7 +433,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     t1, t2, k_id, k1, k2, n, times = fresh(df, "t1", "t2", "k_id", "k1", "k2", "n", "times")
     decided = materialise(jaccard_join(df, id_col, text_col, **options).select(F.col(id_col).alias(k_id), F.col("t1").alias(k1), F.col("t2").alias(k2), "kept"), "decided")
     # only rows whose id may be one of a dropped row are looked up: the others stay where they are
-    doubtful, sure = split_by(df, bitmap(decided.where("NOT kept"), F.col(k_id)), F.col(id_col))
+    doubtful, sure = Bitmap(decided.where("NOT kept"), F.col(k_id)).split(df, F.col(id_col))
     schema = T.StructType([*df.schema.fields, T.StructField(t1, T.LongType()), T.StructField(t2, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,42 @@
 """The bitmap that sorts rows without a join, and the shared folder."""
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from riskloom.llm import common
 
 
-def test_bitmap_never_misses_and_stays_small(spark):
+def test_bitmap_never_misses_and_grows_with_what_it_holds(spark):
     some = spark.range(0, 3000).withColumnRenamed("id", "x").unionByName(spark.createDataFrame([(None,)], "x long"))
-    words = common.bitmap(some, F.col("x"))
-    assert words.count() <= 3001
+    bits = common.Bitmap(some, F.col("x"))
+    assert bits.words.count() <= 3001 and 2**bits.bits >= 32 * 3001
     rows = spark.range(0, 60_000).selectExpr("id AS x", "id AS word", "1 AS bits", "2 AS h").unionByName(spark.createDataFrame([(None, 0, 1, 2)], "x long, word long, bits int, h int"))
-    maybe, sure = common.split_by(rows, words, F.col("x"))
+    maybe, sure = bits.split(rows, F.col("x"))
     assert maybe.columns == rows.columns and sure.columns == rows.columns
     a, b = {r.x for r in maybe.collect()}, {r.x for r in sure.collect()}
-    assert not a & b and len(a) + len(b) == 60_001 and {None, *range(3000)} <= a and len(a) < 3300
-    maybe, sure = common.split_by(rows, common.bitmap(some.limit(0), F.col("x")), F.col("x"))
+    assert not a & b and len(a) + len(b) == 60_001 and {None, *range(3000)} <= a and len(a) < 3000 + 60_000 / 16
+    assert {r.x for r in bits.pick(rows, some, "x").collect()} == {None, *range(3000)}
+    maybe, sure = common.Bitmap(some.limit(0), F.col("x")).split(rows, F.col("x"))
     assert maybe.count() == 0 and sure.count() == 60_001
 
 
-def test_full_bitmap_sends_all_to_the_first_part(spark, monkeypatch):
+def test_a_full_bitmap_sends_all_to_the_first_part_and_picks_the_same(spark, monkeypatch):
     monkeypatch.setattr(common, "BITMAP_BITS", 8)
-    words = common.bitmap(spark.range(5000), F.col("id"))
-    assert words.count() == 4
-    maybe, sure = common.split_by(spark.range(700), words, F.col("id"))
-    assert (maybe.count(), sure.count()) == (700, 0)
+    some = spark.range(5000)
+    bits = common.Bitmap(some, F.col("id"))
+    assert bits.words.count() == 4
+    rows = spark.range(4000, 8000)
+    maybe, sure = bits.split(rows, F.col("id"))
+    assert (maybe.count(), sure.count()) == (4000, 0) and bits.pick(rows, some, "id").count() == 1000
+
+
+def test_tables_can_be_deleted(spark):
+    one, two = common.materialise(spark.range(3), "one"), common.materialise(spark.range(4), "two")
+    files = [f.removeprefix("file://") for f in one.inputFiles()]
+    assert all(os.path.exists(f) for f in files)
+    common.discard(one)
+    assert not any(os.path.exists(f) for f in files) and two.count() == 4
 
 
 def test_slices_bound_bytes():

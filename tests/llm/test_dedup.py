@@ -1,6 +1,7 @@
 """Exact dedup, line dedup and the Jaccard join against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from riskloom.llm import exact_dedup, jaccard_join, line_dedup
+from riskloom.llm import common, exact_dedup, jaccard_join, line_dedup
 
 RUN = re.compile("[\x20\x09-\x0d]+")
 
@@ -32,6 +33,26 @@ def test_cut_points_cover_and_follow_content():
     assert exact_dedup.cut_points(b"") == [] and exact_dedup.cut_points(b"x") == [1]
 
 
+def test_long_texts_with_many_repeated_lines(spark):
+    """Work grows as the lines, not as lines times removed lines."""
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nlast")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, r.text) for r in got} == {1: (0, text), 2: (60_000, "last")}
+
+
+def test_chunks_of_unique_documents_stay_when_the_bitmap_is_full(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP_BITS", 6)
+    moved = []
+    real = exact_dedup._contents
+    monkeypatch.setattr(exact_dedup, "_contents", lambda df, *a: real(moved.append(df.select("id").collect()) or df, *a))
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=300))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1]) for i in range(5)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.id for r in moved[0]) == [*range(5), *range(1000, 1005)]
+    assert {r.doc_id for r in got.collect() if not r.kept} == set(range(1000, 1005))
+
+
 @pytest.mark.parametrize("bits", [64, 2])  # with 2 bits nearly all chunk hashes have several contents
 def test_exact_dedup(edge, edge_rows, empty, bits):
     got = exact_dedup.exact_dedup(edge, hash_bits=bits).collect()
@@ -57,7 +78,7 @@ def test_keep_first(edge, edge_rows):
     assert len(texts) == len(set(texts)) == len({RUN.sub(" ", r[1] or "") for r in edge_rows})
 
 
-def brute_lines(docs):
+def brute_lines(docs, skip_blank):
     """Rows with distinct ids in order; the positions to remove of each."""
     seen, out = set(), {}
     for i, text in sorted(docs):
@@ -65,7 +86,7 @@ def brute_lines(docs):
         gone = set()
         for p in range(len(lines) - 2):
             win = tuple(lines[p : p + 3])
-            if not RUN.sub("", "".join(win)):
+            if skip_blank and not RUN.sub("", "".join(win)):
                 continue
             if win in seen:
                 gone |= {p, p + 1, p + 2}
@@ -78,8 +99,12 @@ def test_line_dedup(spark, edge, empty):
     rng = random.Random(3)
     pool = [f"line {i} of the pool" for i in range(12)] + ["", " "]
     docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 25))) if i % 17 else None) for i in range(150)]
-    want = brute_lines(docs)
-    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    docs += [(200, "a\n\n\n\nb"), (201, "c\n\n \n\n\nd"), (202, "e\n\n\n\n\nf")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_lines(docs, True)
+    assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(df, skip_blank=True).collect()} == want != brute_lines(docs, False)
+    want = brute_lines(docs, False)
+    got = line_dedup.dedup_lines(df).collect()
     assert {r.doc_id: r.removed for r in got} == want
     for r, (i, text) in zip(sorted(got, key=lambda r: r.doc_id), sorted(docs)):
         lines = [] if text is None else text.split("\n")
@@ -91,10 +116,10 @@ def test_line_dedup(spark, edge, empty):
 
 
 def test_line_dedup_short_texts(spark):
-    """With `short`, later copies of a whole text of one or two lines go; parts of longer texts and texts without a word don't."""
+    """With `short`, later copies of a whole text of one or two lines go; parts of longer texts don't, nor, with `skip_blank`, texts without a word."""
     docs = [(1, "a b"), (2, "a b"), (3, "a b\nc"), (4, "a b\nc"), (5, "a b\nc\nd"), (6, "a b\n"), (7, " "), (8, " "), (9, ""), (10, None), (11, "a b\nc\nd"), (12, "\na b"), (2, "e\nf\ng\nh"), (None, "a b")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.n_lines): (r.text, r.removed) for r in line_dedup.dedup_lines(df, short=True).collect()}
+    got = {(r.doc_id, r.n_lines): (r.text, r.removed) for r in line_dedup.dedup_lines(df, short=True, skip_blank=True).collect()}
     gone = {(2, 1): ("", [0]), (4, 2): ("", [0, 1]), (11, 3): ("", [0, 1, 2]), (2, 4): ("f\ng\nh", [0]), (None, 1): ("", [0])}
     assert got == {(i, 0 if t is None else t.count("\n") + 1): (t, []) for i, t in docs} | gone
 
@@ -188,13 +213,28 @@ def test_pruning_keeps_what_reaches_the_threshold():
         a, b = np.sort(np.concatenate([common, own[:20]])), np.sort(np.concatenate([common, own[20:]]))  # 0.8 exactly
         a, b = a.astype(np.uint64), b.astype(np.uint64)
         values = jaccard_join.minhashes([a, b])
-        keys, sig = jaccard_join.band_keys(values), (values[:, -64:] >> np.uint32(24)).astype(np.uint8)
+        keys, sig = jaccard_join.band_keys(values), jaccard_join.short_values(values)
         assert (keys[0] == keys[1]).any()
         left, _ = jaccard_join.survivors(sig, keys, np.array([180, 180]), np.array([0]), np.array([1]), 0, jaccard_join.Fraction("0.8"), least)
         lost, tried = lost + (len(left) == 0), tried + 1
     assert lost == 0 and tried == 60
 
 
+def test_what_is_written_grows_with_the_members_not_the_pairs(spark, monkeypatch):
+    """A group of n near copies has n * (n - 1) / 2 links; all are counted, none is written."""
+    sizes = {}
+    real = jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: (table := real(df, name), sizes.setdefault(name, table))[0])
+    base = [f"w{k}" for k in range(120)]
+    for n in (100, 200):
+        docs = [(i, " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(n)]
+        sizes.clear()
+        monkeypatch.setattr(jaccard_join, "discard", lambda *tables: None)
+        got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), part=64).collect()
+        assert {r.n_links for r in got} == {n - 1} and {r.group_id for r in got} == {0}
+        assert sizes["members"].count() <= 24 * n and sizes["needed"].count() == n and sizes["links"].count() <= 24 * n * math.ceil(n / 64)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
