@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh
+from .common import fresh, materialise
 
 # Sources are broadcast with their rates up to this many and these bytes of names, both counted first; more are joined by shuffle.
 BROADCAST_SOURCES, BROADCAST_BYTES = 20_000, 8 << 20
@@ -66,7 +66,7 @@ def source_rates(df: DataFrame, source_col: str = "source", weights: dict[str, f
     made to sum to 1 over the sources that are there, and none but 0 becomes 0; a source without a weight gets 0.
     A weight that is negative, infinite or NaN raises ValueError.
     """
-    n = df.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    n = materialise(df.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")), "sources")  # one look at all rows
     if weights is None:
         raw = F.pow(F.col("n").cast("double"), F.lit(float(exponent)))
     else:
@@ -95,7 +95,7 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, exponent
     in ranges of RANGE that go to different tasks.  An empty table gives an empty result.
     """
     copy, n_copies, shuffle_key, key, rate, name, row, first = fresh(df, "copy", "n_copies", "shuffle_key", "key", "rate", "name", "row", "first")
-    rates = source_rates(df, source_col, weights, exponent).select(F.col("source").alias(key), F.col("rate").alias(rate))
+    rates = materialise(source_rates(df, source_col, weights, exponent), "rates").select(F.col("source").alias(key), F.col("rate").alias(rate))
     size = rates.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes"), F.coalesce(F.max(rate), F.lit(0.0)).alias("top")).first()
     same = F.col(source_col).eqNullSafe(F.col(key))
     drawn = df.withColumn(row, F.xxhash64(*(F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in df.dtypes)))

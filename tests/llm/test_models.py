@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
-from riskloom.llm import language_id, lm_score, mixing, quality
+from riskloom.llm import hashed, language_id, lm_score, mixing, quality
 
 SPLIT = re.compile("[\x20\x09-\x0d]+")
 
@@ -256,6 +257,68 @@ def test_quality(spark, empty):
     assert quality.quality(empty, lb).count() == 0 and quality.quality(df, lb.limit(0)).count() == len(docs)
 
 
+def test_features_and_decoding_by_plain_loops():
+    """Hashed frequencies and loss-weighted decoding against their definitions."""
+    texts = ["ab ab c", "", "bca abca b"]
+    x = language_id.features(texts)
+    raw = [" " + t.lower() + " " for t in texts]
+    for row, t in zip(x, raw):
+        for k, n in enumerate(language_id.ORDERS):
+            grams = Counter(t[i : i + n] for i in range(len(t) - n + 1))
+            part = row[k << language_id.BITS : (k + 1) << language_id.BITS]
+            assert sorted(v**2 for v in part[part > 0]) == pytest.approx(sorted(c / sum(grams.values()) for c in grams.values()), abs=1e-6)
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b", "c"], rng.normal(size=(x.shape[1] + 1, 3)).astype(np.float32))
+    best, score, lead = model.decode(x)
+    for i in range(3):
+        margins = x[i] @ model.w[:-1] + model.w[-1]
+        loss = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(model.code[j], margins)) for j in range(3)]
+        p = [math.exp(-v) / sum(math.exp(-u) for u in loss) for v in loss]
+        assert best[i] == int(np.argmin(loss)) and score[i] == pytest.approx(max(p), rel=1e-4)
+        assert lead[i] == pytest.approx(sorted(p)[-1] - sorted(p)[-2], abs=1e-4)
+
+
+def test_logistic_regression_is_at_its_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4)).astype(np.float32)
+    y = np.where(rng.random(200) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5, 0.0] + 0.3))), 1.0, -1.0).astype(np.float32)[:, None]
+    weight = rng.random(200)
+    w = hashed.fit_logistic(x, y, weight, ridge=1e-2, rounds=2000).astype(np.float64)
+    share = weight / weight.sum()
+
+    def loss(w):
+        return (share * np.logaddexp(0, -y[:, 0] * (x @ w[:-1, 0] + w[-1, 0]))).sum() + 0.5e-2 * (w[:-1] ** 2).sum()
+
+    for k in range(5):
+        for step in (-0.02, 0.02):
+            other = w.copy()
+            other[k] += step
+            assert loss(other) > loss(w)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_accuracy_on_documents_that_were_not_learned_from(spark):
+    """Languages of held-out documents; qualities of documents whose labels were kept back."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = got.agg(F.sum(F.expr("CAST(lang = lang_pred AS INT)")), F.count("*")).first()
+    assert n > 100 and right >= 0.95 * n
+    back = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    seen = quality.quality(docs, labels.where(~back)).join(labels.where(back).select("doc_id", "quality"), "doc_id").where("quality IN (0, 1) AND probability IS NOT NULL")
+    right, n = seen.agg(F.sum(F.expr("CAST((probability >= 0.5) = (quality = 1) AS INT)")), F.count("*")).first()
+    assert n > 50 and right >= 0.9 * n
+
+
+def test_quality_edge_rows(spark, edge, edge_rows):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.quality(edge, labels).collect()
+    key = lambda t: (str(t[0]), *t[1:])
+    want = sorted(((r[0], *brute_counts(r[1])) for r in edge_rows), key=key)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=key) == want
+    assert all(r.kept == (not r.base_failed and r.probability >= 0.5) for r in got)
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     margin = rng.normal(size=4000)

@@ -46,6 +46,38 @@ def test_special_strings():
     assert np.frombuffer(packing.encoder(WORD).text(text), "<u4").tolist() == TK.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(ODD, LATIN))
+def test_ids_by_any_other_tokenizer(text):
+    other = P.path("byte_bpe_50k.json")
+    ids = np.frombuffer(packing.encoder(other).text(text), "<u4").tolist()
+    assert not packing.encoder(other).by_words and packing.encoder(WORD).by_words
+    assert ids == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 63), max_size=40))
+def test_pack_is_descending_cheapest_with_room(lengths):
+    """What fits whole goes where a plain loop over all sequences puts it; ties by number."""
+    size, total = 64, sum(lengths)
+    room = [size] * (total // size) + [1 << k for k in range(6, -1, -1) if total % size >> k & 1]
+    cost, where = [0.0] * len(room), {}
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        fit = [at for at in range(len(room)) if room[at] >= lengths[k]]
+        if fit:
+            at = min(fit, key=lambda at: (cost[at], at))
+            where[k], room[at] = at, room[at] - lengths[k]
+            cost[at] += lengths[k] + lengths[k] ** 2 / size
+    got = {k: at for k, start, n, at, _ in packing.pack(lengths, size) if n == lengths[k] and k in where}
+    assert got == where
+
+
+def test_counter_refuses_models_it_does_not_hold_for(monkeypatch):
+    monkeypatch.setattr(token_counts, "_piece_types", lambda proto: [1] * SP.get_piece_size())
+    with pytest.raises(ValueError, match="byte pieces"):
+        token_counts.PrefixCounter(PIECE)
+
+
 def test_counts_over_edge_rows(edge, edge_rows, empty):
     got = token_counts.token_counts(edge, PIECE, limit=50, keep_table=True).collect()
     assert len(got) == len(edge_rows)

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from riskloom.llm import warc
 
@@ -108,6 +109,36 @@ def test_a_failed_member_gives_its_records_before_the_damage():
         assert gaps[0][0] == 0 and all(g[1] > 0 and g[0] + g[1] <= len(data) for g in gaps)
 
 
+def test_gaps_inside_a_member_say_which_bytes():
+    rng = random.Random(6)
+    recs = [warc.record(i, "u", rng.randbytes(300)) for i in range(50)]
+    starts = [sum(map(len, recs[:k])) for k in range(51)]
+    inner = bytearray(b"".join(recs))
+    for k in (7, 8, 30):
+        inner[starts[k] + len(recs[k]) - 20] ^= 1
+    data = warc.member(bytes(inner))
+    records, gaps = read(data)
+    assert [int(r[2]["page_id"]) for r in records] == [i for i in range(50) if i not in (7, 8, 30)]
+    assert [g[2].split(": ")[1] for g in gaps] == [f"{starts[9] - starts[7]} bytes from {starts[7]} on in the member", f"{starts[31] - starts[30]} bytes from {starts[30]} on in the member"]
+
+
+def test_a_member_that_inflates_too_far(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_INFLATED", 50_000)
+    first = warc.record(1, "u", b"good")
+    bomb, after = warc.member(first + b"\0" * 30_000_000), warc.member(warc.record(2, "u", b"later"))
+    records, gaps = read(bomb + after)
+    assert [r[2]["page_id"] for r in records] == ["1", "2"] and "inflates" in gaps[0][2]
+
+
+def test_a_page_that_does_not_come_back_is_an_error(spark, monkeypatch):
+    from riskloom.llm import queries
+
+    lost = spark.createDataFrame([(None, "member cut short")], "record_type string, reason string").selectExpr("*", "'1' AS page_id", "1L AS payload_bytes", "'x' AS payload_digest", "'2' AS refers_to")
+    monkeypatch.setattr(warc, "archive_pages", lambda *a, **k: lost)
+    with pytest.raises(Exception, match="gap"):
+        queries.op1_warc(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_headers_of_any_length(spark):
     fixed = len(warc.record(1, "", b"p").partition(b"\r\n\r\n")[0])
     for n in (100_000, *range(65_530 - fixed, 65_542 - fixed)):
