@@ -8,7 +8,7 @@ The rest is verified on the sets themselves.
 
 No pair is a row, nor written in any other form.  A bucket's members are dealt into parts of bounded size and
 each two parts meet in a tile of their own, so a bucket of any size is whole
-and no task holds it all.  A pair counts in the first band in which it
+and no task holds it all; where sets are large, parts have fewer members.  A pair counts in the first band in which it
 collides, and in no other.  A first round of tiles returns the members that are in a pair which stays; their sets
 are fetched, and in a second round a tile of such members compares and verifies in one go.  It returns for each member its number of links
 and one edge towards its component, from which the components of the corpus
@@ -32,7 +32,8 @@ WORDS, THRESHOLD = 5, 0.8
 # A pair at the threshold shares no band with probability (1 - 0.8**4)**24, about 3e-6.
 BANDS, ROWS = 24, 4
 CHECKS, STEP, TOLERANCE = 64, 16, 1e-6
-PART = 1024
+# Members of a bucket that one part of a tile holds at most, on average, and bytes of their sets.
+PART, PART_BYTES = 1024, 32 << 20
 PAIRS_AT_ONCE = 1 << 18
 
 
@@ -266,11 +267,14 @@ def text_key(text: str) -> tuple[int, int]:
 
 
 def _tiles(members: DataFrame, part: int) -> DataFrame:
-    """Deal the members of each bucket (its size in `members`) into parts, and a row to each tile that its part is in."""
+    """Deal the members of each bucket (its size and, where they come along, the bytes of its sets in `members`) into parts, and a row to each tile that its part is in."""
     parts = F.ceil(F.col("bucket_size") / F.lit(float(part))).cast("int")
+    if "bucket_bytes" in members.columns:
+        by_bytes = F.ceil(F.col("bucket_bytes") / F.lit(float(PART_BYTES))).cast("int")
+        parts = F.least(F.greatest(parts, by_bytes), F.col("bucket_size").cast("int"))
     out = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return out.withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("parts", "own", "other", "bucket_size")
+    return out.withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("parts", "own", "other", "bucket_size", "bucket_bytes")
 
 
 TILE = ["key", "ti", "tj"]
@@ -295,7 +299,7 @@ def _surviving_pairs(tile: pa.Table, threshold: Fraction, least: list[int]) -> t
 
 def _prune(least: list[int], threshold: Fraction) -> Callable:
     """The members of a tile that are in a pair that stays."""
-    names = ["key", "band", "c"]
+    names = ["key", "band", "c", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _grouped(batches, TILE):
@@ -384,15 +388,15 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = buckets.groupBy("bucket_size", "low", "high", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "bucket_size")
     least = least_matches(threshold, tolerance)
     members = bands.join(buckets, "key").join(classes.select("c", "n", "keys", "sig"), "c")
-    stay = _dealt(_tiles(members, part)).mapInArrow(_prune(least, exact), "key long, band int, c long")
+    stay = _dealt(_tiles(members, part)).mapInArrow(_prune(least, exact), "key long, band int, c long, n long")
     stay = materialise(stay.distinct(), "members")  # in proportion to the members, however many pairs there are
     needed = materialise(stay.select("c").distinct().join(classes.select("c", "class_size", "n", "keys", "sig", "f1", "f2", F.col("first.id").alias("id")), "c"), "needed")
     # texts aren't shuffled: a bitmap of the ids leaves nearly all others where they are, a semi-join the rest, and the sets meet their classes
     ids = needed.select("id").distinct()
     found = Bitmap(ids, F.col("id")).pick(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, "id")
     sets = found.select("text").mapInArrow(_sets(width), "f1 long, f2 long, set binary").join(needed.drop("id"), ["f1", "f2"]).drop("f1", "f2").dropDuplicates(["c"])
-    sizes = stay.groupBy("key").agg(F.count("*").alias("bucket_size"))
-    checked = _dealt(_tiles(stay.join(sizes, "key").join(sets, "c"), part)).mapInArrow(_verify(least, exact), "c long, links long, linked_rows long, root long")
+    sizes = stay.groupBy("key").agg(F.count("*").alias("bucket_size"), F.sum(F.col("n") * 8).alias("bucket_bytes"))
+    checked = _dealt(_tiles(stay.drop("n").join(sizes, "key").join(sets, "c"), part)).mapInArrow(_verify(least, exact), "c long, links long, linked_rows long, root long")
     links = materialise(checked, "links")
     discard(stay, needed)
     counts = links.groupBy("c").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))

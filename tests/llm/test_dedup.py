@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -235,6 +236,31 @@ def test_what_is_written_grows_with_the_members_not_the_pairs(spark, monkeypatch
         assert sizes["members"].count() <= 24 * n and sizes["needed"].count() == n and sizes["links"].count() <= 24 * n * math.ceil(n / 64)
 
 
+def test_parts_of_long_texts_have_fewer_members(spark, monkeypatch):
+    """Links are the same however few sets a part may hold; the number of tiles grows with their bytes."""
+    docs = near_docs()
+    rows = []
+    real = jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda df: (rows.append(df.count()), real(df))[1])
+    for limit in (jaccard_join.PART_BYTES, 4096):
+        monkeypatch.setattr(jaccard_join, "PART_BYTES", limit)
+        got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.class_id, r.class_size, r.n_links, r.n_linked_docs, r.group_id) for r in got} == brute_join(docs)
+    assert rows[0] == rows[2] and rows[3] > rows[1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_documents(spark):
+    """Ids divisible by 100 against all rows, by brute force over the shingles: no link is lost, none is made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.n_linked_docs for r in jaccard_join.jaccard_join(docs).collect() if r.doc_id % 100 == 0}
+    rows = docs.collect()
+    sets = shingle_sets([r.text for r in rows])
+    asked = [(r.doc_id, s) for r, s in zip(rows, sets) if r.doc_id % 100 == 0]
+    want = {i: sum(bool(a) and 5 * len(a & b) >= 4 * len(a | b) for b in sets) - bool(a) for i, a in asked}
+    assert len(got) == len(want) >= 100 and got == want and sum(want.values()) > 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
