@@ -12,7 +12,9 @@ a block of bounded size, which is kept compressed in the checkpoint folder.  A b
 sends their hashes, sorted and packed, to buckets by hash range; a bucket adds
 up and answers each block in the order asked: the corpus's count of what other blocks have as well,
 nothing for what only this block has, whose own count is the corpus's.  Longer n-grams follow in a second round, but only those of
-pairs that other blocks have: no other block can have the rest.  With
+pairs that other blocks have: no other block can have the rest.  Where there are more than MOST_RANGES
+buckets, blocks send to that many wider hash ranges instead; there teams of blocks add up what they sent, and teams
+ask the buckets and hand the answers back, so that packed rows grow as blocks, not as blocks times buckets.  With
 these counts a block builds the part of the automaton that its texts can reach.
 """
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpointed, crc32_mod, materialise, release, slices, sole
+from .common import checkpointed, crc32_mod, discard, materialise, release, slices, sole
 
 # Of orders 2, 3 and 4, and of priors for contexts of 1, 2 and 3 words, the best for documents with remainder 1 under a model of those with 2 to 9.
 ORDER, PRIORS = 4, (8000.0, 500.0, 0.5)
@@ -38,6 +40,10 @@ PRIOR = 500.0
 FOLDS, HELD_OUT = 10, 0
 ADD = 0.1
 BLOCK_BYTES = 8 << 20
+# A block sends at most so many rows of n-grams of one length.
+MOST_RANGES = 4096
+# Of shuffles that have a partition for each so many bytes; a partition's groups are worked on one at a time, however many they are.
+MOST_TASKS = 1 << 15
 START, END = 0, 1
 WORD_BITS = 64
 # Hashes of n-grams have so many bits more than a number of all the corpus's tokens: one in 2 ** MARGIN_BITS shares its hash by chance, at any size.
@@ -237,7 +243,7 @@ def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 def _messages(block: int, k: int, keys: np.ndarray, n: np.ndarray, bits: int, buckets: int) -> list[tuple]:
-    """Sorted hashes and their counts, a row for each bucket."""
+    """Sorted hashes and their counts, a row for each bucket; counts are doubled, and odd for what several blocks have."""
     bucket = _bucket(keys, bits, buckets)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
     return [(block, int(bucket[a]), k, pack_keys(keys[a:b]), pack_numbers(n[a:b])) for a, b in zip(edges, [*edges[1:], len(keys)])]
@@ -253,17 +259,17 @@ def _first_round(order: int, bits: int, buckets: int):
                 rows = _rows(data.as_buffer())
                 b = Block(rows.column("text").to_pylist(), min(order, 2), bits)
                 learn = rows.column("learn").to_numpy()
-                out = _messages(block, 0, b.keys[0][b.by_hash], b.counts(0, learn)[b.by_hash], WORD_BITS, buckets)
+                out = _messages(block, 0, b.keys[0][b.by_hash], 2 * b.counts(0, learn)[b.by_hash], WORD_BITS, buckets)
                 if order > 1:
-                    out += _messages(block, 1, b.keys[1], b.counts(1, learn), bits, buckets)
+                    out += _messages(block, 1, b.keys[1], 2 * b.counts(1, learn), bits, buckets)
                 yield from _table(SENT, out).to_batches()
 
     return run
 
 
 def _answered(answers: pa.Table, k: int) -> np.ndarray:
-    """The answers to a block's (k+1)-grams, in hash order."""
-    mine = answers.filter(pc.equal(answers.column("ord"), k)).sort_by("bucket")
+    """The answers to a block's or a team's (k+1)-grams, in hash order."""
+    mine = answers.filter(pc.equal(answers.column("ord"), k)).sort_by("part" if "part" in answers.column_names else "bucket")
     return np.concatenate([unpack_numbers(x) for x in mine.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
 
 
@@ -292,33 +298,42 @@ def _second_round(order: int, bits: int, buckets: int):
             for k in range(2, order):
                 some = b.maybe_shared(k, shared)
                 if len(some):
-                    out += _messages(blocks.column("block")[i].as_py(), k, b.keys[k][some], b.counts(k, learn)[some], bits, buckets)
+                    out += _messages(blocks.column("block")[i].as_py(), k, b.keys[k][some], 2 * b.counts(k, learn)[some], bits, buckets)
         return _table(SENT, out)
 
     return run
 
 
+def _of_length(sent: pa.Table, k: int, bits: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """The rows of (k+1)-grams, where the hashes of each end, a number for each hash, from 0 in hash order, and the different hashes."""
+    at = np.flatnonzero(sent.column("ord").to_numpy() == k).tolist()
+    keys = [unpack_keys(sent.column("hashes")[i].as_py()) for i in at]
+    ends = np.cumsum([len(x) for x in keys]).tolist()
+    width = WORD_BITS if k == 0 else bits
+    number, different, _ = ranked(np.concatenate(keys) << np.uint64(64 - width), width)
+    return at, ends, number, different
+
+
+def _sums(sent: pa.Table, at: list[int], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each different hash its count, and whether several blocks have it."""
+    n = np.concatenate([unpack_numbers(sent.column("counts")[i].as_py()) for i in at])
+    sums, many = np.bincount(number, weights=n >> 1).astype(np.int64), np.bincount(number, weights=1 + (n & 1)) > 1
+    return sums, many
+
+
 def _answer(bits: int):
     """Add up a bucket: for each hash of a block 1 + its count in the corpus, or 0 if no other block has it.
 
     `distinct` and `total` (of words seen in training) stand in its first row alone.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket, orders = table.column("bucket")[0].as_py(), table.column("ord").to_numpy()
-        block, hashes, counts = table.column("block").to_pylist(), table.column("hashes"), table.column("counts")
-        out = []
-        for k in np.unique(orders).tolist():
-            at = np.flatnonzero(orders == k).tolist()
-            keys = [unpack_keys(hashes[i].as_py()) for i in at]
-            ends = np.cumsum([len(x) for x in keys])
-            n = np.concatenate([unpack_numbers(counts[i].as_py()) for i in at])
-            width = WORD_BITS if k == 0 else bits
-            number, _, _ = ranked(np.concatenate(keys) << np.uint64(64 - width), width)
-            del keys
-            sums, blocks = np.bincount(number, weights=n).astype(np.int64), np.bincount(number)
+    def run(sent: pa.Table) -> pa.Table:
+        bucket, block, out = sent.column("bucket")[0].as_py(), sent.column("block").to_pylist(), []
+        for k in np.unique(sent.column("ord").to_numpy()).tolist():
+            at, ends, number, _ = _of_length(sent, k, bits)
+            sums, many = _sums(sent, at, number)
             known, total = (int((sums > 0).sum()), int(sums.sum())) if k == 0 else (0, 0)
-            reply = np.where(blocks > 1, sums + 1, 0)[number]
+            reply = np.where(many, sums + 1, 0)[number]
             for j, (i, part) in enumerate(zip(at, np.split(reply, ends[:-1]))):
                 out.append((block[i], bucket, k, pack_numbers(part), known if j == 0 else 0, total if j == 0 else 0))
         return _table(ANSWER, out)
@@ -326,6 +341,59 @@ def _answer(bits: int):
     return run
 
 
+def _merge(bits: int, buckets: int):
+    """Add up what a team's blocks sent to a range, in rows as if the team were a block."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        sole()
+        team, out = sent.column("team")[0].as_py(), []
+        for k in np.unique(sent.column("ord").to_numpy()).tolist():
+            at, _, number, different = _of_length(sent, k, bits)
+            sums, many = _sums(sent, at, number)
+            out += _messages(team, k, different, 2 * sums + many, WORD_BITS if k == 0 else bits, buckets)
+        return _table(SENT, out)
+
+    return run
+
+
+def _hand_back(bits: int):
+    """The answers to a team's rows of a range, for each of its blocks in the order asked."""
+
+    def run(sent: pa.Table, answers: pa.Table) -> pa.Table:
+        sole()
+        if not sent.num_rows:
+            raise RuntimeError("answers to what nobody asked")
+        bucket, block, out = sent.column("bucket")[0].as_py(), sent.column("block").to_pylist(), []
+        words = [pc.sum(answers.column(c)).as_py() or 0 for c in ("distinct", "total")]
+        for k in np.unique(sent.column("ord").to_numpy()).tolist():
+            at, ends, number, different = _of_length(sent, k, bits)
+            got = _answered(answers, k)
+            if len(got) != len(different):
+                raise RuntimeError(f"{len(got)} answers to {len(different)} n-grams")
+            for i, part in zip(at, np.split(got[number], ends[:-1])):
+                out.append((block[i], bucket, k, pack_numbers(part), *words))
+                words = [0, 0]
+        return _table(ANSWER, out)
+
+    return run
+
+
+def _add_up(sent: DataFrame, bits: int, buckets: int, ranges: int, teams: int, tasks: int, name: str) -> DataFrame:
+    """The written answers to what blocks sent to `ranges` ranges; with as many buckets as ranges, ranges are the buckets."""
+    in_buckets = lambda df: df.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answer(bits), ANSWER)
+    if ranges == buckets:
+        return materialise(in_buckets(sent), name)
+    sent = materialise(sent.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(teams))), f"{name}-sent")
+    mine = lambda df: df.repartition(tasks, "team", "bucket").groupBy("team", "bucket")
+    answers = materialise(in_buckets(mine(sent).applyInArrow(_merge(bits, buckets), SENT)), f"{name}-teams")
+    of_team = answers.select(F.col("block").alias("team"), F.floor(F.col("bucket") / (buckets // ranges)).cast("int").alias("bucket"), F.col("bucket").alias("part"), "ord", "counts", "distinct", "total")
+    back = mine(sent).cogroup(mine(of_team)).applyInArrow(_hand_back(bits), ANSWER)
+    out = materialise(back, name)
+    for used in (sent, answers):
+        discard(used)
+    return out
+
+
 def _priors(prior: float | Sequence[float], order: int) -> list[float]:
     """The prior of contexts of 1, 2, ... words."""
     priors = [float(prior)] * (order - 1) if isinstance(prior, (int, float)) else [float(x) for x in prior]
@@ -452,7 +520,7 @@ def _score(order: int, bits: int, total: int, distinct: int, docs: int, prior: f
     return run
 
 
-def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float | Sequence[float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float | Sequence[float] | None = None, block_bytes: int = BLOCK_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Score whole texts with a model of the documents whose crc32(id as text) mod 10 is not 0.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; an end follows each text and counts as a token.
@@ -466,7 +534,8 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     by default PRIORS at the order they were chosen for, else PRIOR.
     Words count as equal if their 64-bit hashes are, longer n-grams if hashes of MARGIN_BITS bits more than
     a number of all tokens takes are.  Memory is that of a block and of a bucket, of
-    `block_bytes` and twice as many bytes of text, or of the longest text.
+    `block_bytes` and twice as many bytes of text, or of the longest text.  A block sends at most `most_ranges` rows
+    of n-grams of one length, whatever the corpus's size.
     """
     if prior is None:
         prior = PRIORS if order == ORDER else PRIOR
@@ -477,18 +546,22 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # dealt out once and kept that way, some blocks a task: no later step moves the texts again
-    blocks = checkpointed(rows.mapInArrow(_blocks(block_bytes), BLOCKS).repartition(max(parts, math.ceil(size / (4 * block_bytes))), "block"))
-    sums = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+    tasks = max(parts, min(math.ceil(size / (4 * block_bytes)), MOST_TASKS))
+    blocks = checkpointed(rows.mapInArrow(_blocks(block_bytes), BLOCKS).repartition(tasks, "block"))
+    sums = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.count("*").alias("n")).first()
     buckets = max(math.ceil(sums["size"] / (2 * block_bytes)), min(parts, math.ceil(sums["size"] / (1 << 20))), 1)
+    ranges = min(buckets, most_ranges)
+    buckets = ranges * math.ceil(buckets / ranges)  # so many in each range
+    teams = max(1, math.ceil(sums["n"] / (2 * ranges)))
     bits = min(64, MARGIN_BITS + max(20, (sums["size"] // 4).bit_length()))
-    add_up = lambda sent: sent.groupBy("bucket").applyInArrow(_answer(bits), ANSWER)
-    answers = materialise(add_up(blocks.select("block", "rows").mapInArrow(_first_round(order, bits, buckets), SENT)), "words")
+    add_up = lambda sent, name: _add_up(sent, bits, buckets, ranges, teams, tasks, name)
+    answers = add_up(blocks.select("block", "rows").mapInArrow(_first_round(order, bits, ranges), SENT), "words")
     seen = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
     of_block = lambda a: a.select("block", "bucket", "ord", "counts").groupBy("block")
     if order > 2:
         pairs = answers.where("ord = 1")
-        sent = blocks.select("block", "rows").groupBy("block").cogroup(of_block(pairs)).applyInArrow(_second_round(order, bits, buckets), SENT)
-        answers = answers.unionByName(materialise(add_up(sent), "ngrams"))
+        sent = blocks.select("block", "rows").groupBy("block").cogroup(of_block(pairs)).applyInArrow(_second_round(order, bits, ranges), SENT)
+        answers = answers.unionByName(add_up(sent, "ngrams"))
     id_field = df.schema[id_col]
     kinds = [T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([T.StructField("id", id_field.dataType), *(T.StructField(n, t) for n, t in zip(SCORES, kinds))])

@@ -59,9 +59,9 @@ def brute_lm(docs, order, prior):
     return out
 
 
-@pytest.mark.parametrize("order, block", [(1, 1 << 24), (2, 20_000), (3, 50_000), (4, 3_000)])
-def test_scores(edge, edge_rows, order, block):
-    got = lm_score.lm_score(edge, order=order, prior=lm_score.PRIOR, block_bytes=block).collect()
+@pytest.mark.parametrize("order, block, ranges", [(1, 1 << 24, 4096), (2, 20_000, 4096), (3, 50_000, 4096), (4, 3_000, 4096), (4, 3_000, 2), (2, 3_000, 1)])
+def test_scores(edge, edge_rows, order, block, ranges):
+    got = lm_score.lm_score(edge, order=order, prior=lm_score.PRIOR, block_bytes=block, most_ranges=ranges).collect()
     want = brute_lm([(r[0], r[1]) for r in edge_rows], order, lm_score.PRIOR)
     key = lambda r: (str(r[0]), r[2], r[5])
     assert len(got) == len(want)
@@ -137,18 +137,27 @@ def test_ranked(xs, bits):
 
 
 def test_messages_grow_with_the_input_and_unique_ngrams_stay_at_home(spark, monkeypatch):
-    """Twice the texts give twice the packed rows at most; what only one block has isn't sent in the second round."""
+    """With more buckets than ranges, twice the texts give twice the packed rows at most; what only one block has isn't sent in the second round."""
     rng = random.Random(9)
-    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(120)]
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(240)]
     sent = {}
     real = lm_score.materialise
     monkeypatch.setattr(lm_score, "materialise", lambda df, name: sent.setdefault(name, real(df, name)))
-    rows = []
-    for n in (60, 120):
+    monkeypatch.setattr(lm_score, "discard", lambda *tables: None)
+    rows, scores = [], {}
+    for n, ranges in ((120, 4), (240, 4), (240, 4096)):
         sent.clear()
-        lm_score.lm_score(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "doc_id long, text string").coalesce(1), block_bytes=20_000).count()
-        rows.append(sum(x.count() for x in sent.values()))
-    assert rows[1] <= 4 * rows[0]  # blocks x buckets, both in proportion: n-grams bound it
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r for r in lm_score.lm_score(docs, block_bytes=10_000, most_ranges=ranges).collect()}
+        scores[ranges] = got
+        if ranges == 4:
+            assert {"words-sent", "words-teams", "ngrams-sent", "ngrams-teams"} <= set(sent)
+            rows.append(sum(x.count() for name, x in sent.items()))
+            blocks = sent["words-sent"].select("block").distinct().count()
+            assert sent["words-sent"].groupBy("block", "ord").count().agg({"count": "max"}).first()[0] <= 4 and blocks > 8
+            assert sent["words-teams"].select("block").distinct().count() > 1  # several teams
+    assert rows[1] <= 2.6 * rows[0]  # a bucket more holds a row more of each team and length
+    assert scores[4] == scores[4096]
     alone = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(40)], "doc_id long, text string").coalesce(1)
     sent.clear()
     lm_score.lm_score(alone, block_bytes=5_000).count()
