@@ -14,7 +14,8 @@ up and answers each block in the order asked: the corpus's count of what other b
 nothing for what only this block has, whose own count is the corpus's.  Longer n-grams follow in a second round, but only those of
 pairs that other blocks have: no other block can have the rest.  Where there are more than MOST_RANGES
 buckets, blocks send to that many wider hash ranges instead; there teams of blocks add up what they sent, and teams
-ask the buckets and hand the answers back, so that packed rows grow as blocks, not as blocks times buckets.  With
+ask the buckets and hand the answers back, so that blocks' packed rows grow as blocks, and teams' rows as blocks
+times buckets over 2 * MOST_RANGES.  With
 these counts a block builds the part of the automaton that its texts can reach.
 """
 
